@@ -22,6 +22,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit_vector(v: Column) -> Column:
-    """L2-normalised copy of an array column; a zero vector stays zero."""
-    length = F.sqrt(dot(v, v))
-    return F.transform(v, lambda p: F.coalesce(F.try_divide(p.cast("double"), length), F.lit(0.0)))
+    """L2-normalised copy of an array column; a zero vector stays zero.
+
+    The length is bound once by an outer one-element transform; written inside
+    the inner lambda it would be computed again for every element.
+    """
+    lengths = F.array(F.sqrt(dot(v, v)))
+    scaled = F.transform(
+        lengths, lambda n: F.transform(v, lambda p: F.coalesce(F.try_divide(p.cast("double"), n), F.lit(0.0)))
+    )
+    return F.element_at(scaled, 1)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from aisleframe.functions.quantiles import exact_quantiles
 from aisleframe.functions.sampling import draw_order, first_k_per_group, sample_rows
+from aisleframe.operators.encoding import complete_cases
 
 FEATURES = ["prices", "price_diff_1d", "price_rol_std_7d", "price_vs_market_avg"]
 KEYS = ["supermarket", "product_name", "date"]
@@ -82,7 +83,7 @@ def isolation_scores(
 ) -> DataFrame:
     """Complete rows with ``score`` = 2 ** (-mean path / expected path); higher is odder."""
     spark = rows.sparkSession
-    complete = rows.na.drop(how="any", subset=features)
+    complete = complete_cases(rows, features)
     # At most n_trees * 2 * tree_rows node rows.
     nodes = grow_forest(complete, features, keys, n_trees, tree_rows, seed).toPandas()
     sample_size = min(tree_rows, complete.limit(tree_rows).count())

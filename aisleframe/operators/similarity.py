@@ -129,7 +129,7 @@ def nearest_distinct(distinct: DataFrame, k: int, min_sim: float, seed: int = 42
         .select("rep", "vec", F.explode("visits").alias("chunk"), F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(splits)).alias("split"))
     )
     targets = placed.select(
-        "rep", "vec", "chunk", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).cast("long").alias("split")
+        "rep", "vec", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))).alias("split")
     )
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -61,8 +61,8 @@ def cluster_bootstrap(spark, sf):
 @query(
     "listing_errors",
     f"""WITH {PANEL}, {LISTING_DAY}, {temporal([7], [1])}
-SELECT supermarket, product_name, CAST(count(*) AS DOUBLE) AS n_rows, round(sum(abs(prices - price_lag_1d)), 5) AS price_lag_1d,
-       round(sum(abs(prices - price_rol_mean_7d)), 5) AS price_rol_mean_7d
+SELECT supermarket, product_name, CAST(count(*) AS DOUBLE) AS n_rows, round(sum(abs(prices - price_lag_1d)) + 1e-9, 5) AS price_lag_1d,
+       round(sum(abs(prices - price_rol_mean_7d)) + 1e-9, 5) AS price_rol_mean_7d
 FROM temporal WHERE price_lag_1d IS NOT NULL AND price_rol_mean_7d IS NOT NULL
   AND date <= (SELECT max(date) FROM listing) - 7 GROUP BY 1, 2""",
 )
@@ -70,7 +70,7 @@ def listing_errors(spark, sf):
     from aisleframe.operators.evaluation import listing_errors as errors
 
     train, _ = split_of(spark, sf)
-    return rounded(errors(train, ["price_lag_1d", "price_rol_mean_7d"], ["supermarket", "product_name"]), 5)
+    return rounded(errors(train, ["price_lag_1d", "price_rol_mean_7d"], ["supermarket", "product_name"]), 5, nudge=True)
 
 
 @query("anomaly_flags")
