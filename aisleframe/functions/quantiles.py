@@ -1,8 +1,9 @@
 """Exact interpolated quantiles of groups of any size.
 
 The built-in exact percentile gathers all distinct values of a group in one
-task. Here a group is first reduced to value levels, the levels are cut into
-narrow value bands, and only the bands that hold a wanted position are sorted.
+task. Here rows are first only counted per narrow value band; the counts tell
+which bands hold the wanted positions, and just the rows of those bands are
+reduced to value levels and sorted.
 """
 
 from __future__ import annotations
@@ -10,32 +11,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS_PER_OCTAVE = 16384
+BANDS_PER_OCTAVE = 1024
+# Target rows (two per group and probability) that may be broadcast.
+MAX_BROADCAST_TARGETS = 20_000
 
 
 def value_band(v: Column) -> Column:
-    """Monotone band number of a value: about 280,000 bands cover 0 to 100,000."""
+    """Monotone band number of a value: about 17,000 bands cover 0 to 100,000."""
     return F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * F.lit(float(BANDS_PER_OCTAVE)))
 
 
-def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """One row per group with a column per entry of ``probs`` (name to probability)."""
-    v = F.col(value).cast("double")
-    keyed = df.select(*group, v.alias("_v")).filter(F.col("_v").isNotNull())
-    levels = keyed.groupBy(*group, value_band(F.col("_v")).alias("_band"), "_v").agg(F.count("*").alias("_n"))
-
-    bands = levels.groupBy(*group, "_band").agg(F.sum("_n").alias("_n"))
+def _targets(keyed: DataFrame, group: list[str], probs: dict[str, float]) -> DataFrame:
+    """Bands and offsets of the neighbours of position (n - 1) * p, per group and probability."""
+    bands = keyed.groupBy(*group, "_band").agg(F.count("*").alias("_n"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    ordered = whole.orderBy("_band")
     bands = bands.select(
         *group,
         "_band",
-        (F.sum("_n").over(whole.orderBy("_band").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias(
-            "_before"
-        ),
         F.col("_n").alias("_in_band"),
-        F.sum("_n").over(whole).alias("_total"),
+        (F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
+        F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"),
     )
-    # Two wanted positions per probability: the neighbours of (n - 1) * p.
     wanted = F.array(
         *[
             F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"), F.lit(side).alias("side"))
@@ -44,32 +41,55 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
         ]
     )
     h = (F.col("_total") - 1) * F.col("_w.p")
-    targets = (
+    return (
         bands.select("*", F.explode(wanted).alias("_w"))
         .withColumn("_pos", F.least(F.floor(h) + F.col("_w.side"), F.col("_total") - 1))
         .filter((F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("_in_band")))
         .select(
             *group,
             "_band",
-            F.col("_w.name").alias("_name"),
-            F.col("_w.side").alias("_side"),
-            (h - F.floor(h)).alias("_frac"),
-            (F.col("_pos") - F.col("_before")).alias("_offset"),
+            F.struct(
+                F.col("_w.name").alias("name"),
+                F.col("_w.side").alias("side"),
+                (h - F.floor(h)).alias("frac"),
+                (F.col("_pos") - F.col("_before")).alias("offset"),
+            ).alias("_t"),
         )
+        .groupBy(*group, "_band")
+        .agg(F.collect_list("_t").alias("_ts"))
+    )
+
+
+def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """One row per group with a column per entry of ``probs`` (name to probability).
+
+    Band counts come from one aggregation with small partial results. When the
+    target bands are few, which is checked, they are broadcast and the second
+    pass shuffles only the rows inside them; otherwise they are joined by key.
+    """
+    v = F.col(value).cast("double")
+    keyed = df.select(*group, v.alias("_v")).filter(F.col("_v").isNotNull()).withColumn("_band", value_band(F.col("_v")))
+    hits = _targets(keyed, group, probs)
+    few = hits.limit(MAX_BROADCAST_TARGETS + 1).collect()
+    if len(few) <= MAX_BROADCAST_TARGETS:
+        hits = F.broadcast(df.sparkSession.createDataFrame(few, hits.schema))
+    levels = (
+        keyed.join(hits.select(*group, "_band"), [*group, "_band"], "left_semi")
+        .groupBy(*group, "_band", "_v")
+        .agg(F.count("*").alias("_n"))
     )
-    hit_bands = targets.groupBy(*group, "_band").agg(F.collect_list(F.struct("_name", "_side", "_frac", "_offset")).alias("_ts"))
     inside = Window.partitionBy(*group, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        levels.join(hit_bands, [*group, "_band"])
-        .withColumn("_upto", F.sum("_n").over(inside))
+        levels.withColumn("_upto", F.sum("_n").over(inside))
+        .join(hits, [*group, "_band"])
         .select(*group, "_v", "_n", "_upto", F.explode("_ts").alias("_t"))
-        .filter((F.col("_t._offset") < F.col("_upto")) & (F.col("_t._offset") >= F.col("_upto") - F.col("_n")))
+        .filter((F.col("_t.offset") < F.col("_upto")) & (F.col("_t.offset") >= F.col("_upto") - F.col("_n")))
     )
     picks = []
     for name in probs:
-        mine = F.col("_t._name") == name
-        low = F.max(F.when(mine & (F.col("_t._side") == 0), F.col("_v")))
-        high = F.max(F.when(mine & (F.col("_t._side") == 1), F.col("_v")))
-        frac = F.max(F.when(mine, F.col("_t._frac")))
+        mine = F.col("_t.name") == name
+        low = F.max(F.when(mine & (F.col("_t.side") == 0), F.col("_v")))
+        high = F.max(F.when(mine & (F.col("_t.side") == 1), F.col("_v")))
+        frac = F.max(F.when(mine, F.col("_t.frac")))
         picks.append((low + (high - low) * frac).alias(name))
     return found.groupBy(*group).agg(*picks) if group else found.agg(*picks)

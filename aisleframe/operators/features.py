@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aisleframe.functions.calendar import cyclical_parts
-from aisleframe.functions.levels import with_level_stats
+from aisleframe.functions.levels import POSITION, with_position
 
 LISTING = ["supermarket", "product_name"]
 MARKET_DAY = ["canonical_name", "date"]
@@ -17,15 +17,29 @@ LAGS = [1, 7]
 def listing_day(df: DataFrame) -> DataFrame:
     """One row per retailer, listing and day.
 
-    Prices are averaged, other columns take their smallest value. Partial
-    aggregation runs before the shuffle; afterwards a listing has at most one
-    row per calendar day, which bounds every window over it.
+    Prices are averaged, other columns take their smallest value.
+
+    Step one groups by all non-price columns: only numbers are in the buffers,
+    so it is a hash aggregation, and repeated rows of a hot listing collapse
+    before the shuffle. What is left is at most one row per day and variant of
+    a listing, which bounds the second step and every later window. Step two
+    shares its partitioning and sort order with those windows.
     """
     keys = [*LISTING, "date"]
     means = [c for c in ("prices", "prices_unit") if c in df.columns]
     rest = [c for c in df.columns if c not in keys and c not in means]
-    aggregated = df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in means], *[F.min(c).alias(c) for c in rest])
-    return aggregated.select(*df.columns)
+    variants = df.groupBy(*keys, *rest).agg(
+        *[F.sum(c).alias(f"_sum_{c}") for c in means], *[F.count(c).alias(f"_n_{c}") for c in means]
+    )
+    days = (
+        variants.repartition(*LISTING)
+        .groupBy(*keys)
+        .agg(
+            *[F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_n_{c}")).alias(c) for c in means],
+            *[F.min(c).alias(c) for c in rest],
+        )
+    )
+    return days.select(*df.columns)
 
 
 def temporal_features(
@@ -68,28 +82,27 @@ def legacy_features(df: DataFrame, windows: list[int] = ROLLING_WINDOWS, lags: l
     return out.drop("days_since_last_obs").na.fill(0.0, subset=filled)
 
 
-def competitive_features(df: DataFrame, price_col: str = "price_lag_1d") -> DataFrame:
+def competitive_features(
+    df: DataFrame, price_col: str = "price_lag_1d", sizes: DataFrame | None = None, hot_rows: int | None = None
+) -> DataFrame:
     """Own previous price against the other listings of the product that day.
 
     The mean of the others is (sum - own) / (n - 1); the rank is one plus the
     listings strictly below. Without another listing both are null.
     """
-    out = with_level_stats(
-        df,
-        MARKET_DAY,
-        price_col,
-        {"_sum": F.col("_sum"), "_count": F.col("_count"), "_lower": F.col("_lower")},
-    )
+    out = with_position(df, MARKET_DAY, price_col, sizes, hot_rows)
     own = F.col(price_col)
     contested = F.col("_count") > 1
     delta = F.when(contested, own - (F.col("_sum") - own) / (F.col("_count") - 1))
     rank = F.when(contested, (F.col("_lower") + 1).cast("double"))
-    return out.withColumns({"price_vs_market_avg": delta, "price_rank": rank}).withColumn(
-        "is_cheapest_in_market", F.coalesce((F.col("price_rank") == 1).cast("int"), F.lit(0))
-    ).drop("_sum", "_count", "_lower")
+    return (
+        out.withColumns({"price_vs_market_avg": delta, "price_rank": rank})
+        .withColumn("is_cheapest_in_market", F.coalesce((F.col("price_rank") == 1).cast("int"), F.lit(0)))
+        .drop(*POSITION)
+    )
 
 
-def inclusive_market_stats(df: DataFrame) -> DataFrame:
+def inclusive_market_stats(df: DataFrame, sizes: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
     """Legacy market statistics of a product and day that include the row itself."""
     stats = df.groupBy(*MARKET_DAY).agg(
         F.avg("prices").alias("market_avg_price"),
@@ -97,12 +110,17 @@ def inclusive_market_stats(df: DataFrame) -> DataFrame:
         F.min("prices").alias("market_min_price"),
         F.max("prices").alias("market_max_price"),
     )
-    ranked = with_level_stats(df, MARKET_DAY, "prices", {"price_rank": (F.col("_lower") + 1).cast("double")})
-    return ranked.join(stats, MARKET_DAY, "left").withColumns(
-        {
-            "price_vs_market_avg": F.col("prices") - F.col("market_avg_price"),
-            "is_cheapest": (F.col("prices") == F.col("market_min_price")).cast("int"),
-        }
+    ranked = with_position(df, MARKET_DAY, "prices", sizes, hot_rows)
+    return (
+        ranked.join(stats, MARKET_DAY, "left")
+        .withColumns(
+            {
+                "price_vs_market_avg": F.col("prices") - F.col("market_avg_price"),
+                "price_rank": (F.col("_lower") + 1).cast("double"),
+                "is_cheapest": (F.col("prices") == F.col("market_min_price")).cast("int"),
+            }
+        )
+        .drop(*POSITION)
     )
 
 
@@ -114,5 +132,5 @@ def feature_frame(
     canonical: DataFrame, windows: list[int] = ROLLING_WINDOWS, lags: list[int] = LAGS
 ) -> DataFrame:
     """Canonical rows to the full feature table."""
-    daily = listing_day(canonical)
-    return cyclical_features(competitive_features(temporal_features(daily, windows, lags)))
+    daily = temporal_features(listing_day(canonical), windows, lags)
+    return cyclical_features(competitive_features(daily, sizes=canonical))

@@ -6,17 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Known table schemas; naming them saves a footer-reading job per load.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    reader = spark.read.schema(SCHEMAS[table]) if table in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer splits than cores over all cores.
+
+    A single small file is one task however many cores wait. A large input has
+    more splits than that and is left alone.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
 
+def with_retailer(rows: DataFrame, spark: SparkSession, sf_dir: str, supplier_key: str) -> DataFrame:
+    """Add ``supermarket``; a supplier's region plays the retailer.
 
-def retailers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier key to retailer name; a supplier's region plays the retailer."""
+    The dimensions are joined one by one, so each build side is a plain table
+    whose size Spark knows before it plans: small ones are broadcast without a
+    shuffle of the rows, large ones are not.
+    """
     return (
-        load(spark, sf_dir, "supplier")
-        .join(load(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        rows.join(load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col(supplier_key) == F.col("s_suppkey"))
+        .join(load(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", F.col("r_name").alias("supermarket"))
+        .withColumnRenamed("r_name", "supermarket")
     )
 
 
@@ -27,23 +62,20 @@ def price_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     with the data, so Catalyst and AQE choose by size.
     """
     part = load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
-    line = load(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"
+    line = spread(
+        load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity")
     )
-    return (
-        line.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(retailers(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            "supermarket",
-            F.concat("p_name", F.lit(" #"), F.col("l_partkey").cast("string")).alias("product_name"),
-            F.col("p_name").alias("canonical_name"),
-            F.col("p_type").alias("category"),
-            F.col("p_brand").alias("brand"),
-            (F.col("p_size") <= 25).alias("own_brand"),
-            F.to_date("l_shipdate").alias("date"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("prices"),
-            F.col("l_extendedprice").alias("prices_unit"),
-        )
+    rows = with_retailer(line.join(part, F.col("l_partkey") == F.col("p_partkey")), spark, sf_dir, "l_suppkey")
+    return rows.select(
+        "supermarket",
+        F.concat("p_name", F.lit(" #"), F.col("l_partkey").cast("string")).alias("product_name"),
+        F.col("p_name").alias("canonical_name"),
+        F.col("p_type").alias("category"),
+        F.col("p_brand").alias("brand"),
+        (F.col("p_size") <= 25).alias("own_brand"),
+        F.to_date("l_shipdate").alias("date"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("prices"),
+        F.col("l_extendedprice").alias("prices_unit"),
     )
 
 

@@ -10,7 +10,7 @@ from aisleframe.operators import features
 from aisleframe.operators.encoding import complete_cases, fit_spec, override_lag, time_split
 from aisleframe.operators.evaluation import point_metrics
 from aisleframe.operators.scoring import as_of, latest_rows, with_status
-from aisleframe.panel import load, price_panel, retailers
+from aisleframe.panel import load, price_panel
 from aisleframe.plans.fragments import (
     COMPETITIVE,
     FACT,
@@ -87,7 +87,9 @@ SELECT supermarket, product_name, date, round(price_vs_market_avg, 6) AS price_v
 FROM competitive""",
 )
 def competitive_loo(spark, sf):
-    out = features.competitive_features(features.temporal_features(daily_of(spark, sf), [], [1]))
+    panel = price_panel(spark, sf)
+    daily = features.temporal_features(features.listing_day(panel), [], [1])
+    out = features.competitive_features(daily, sizes=panel)
     return rounded(out.select(*KEY, "price_vs_market_avg", "is_cheapest_in_market"))
 
 
@@ -97,7 +99,9 @@ def competitive_loo(spark, sf):
 SELECT supermarket, product_name, date, price_rank FROM competitive""",
 )
 def price_rank(spark, sf):
-    out = features.competitive_features(features.temporal_features(daily_of(spark, sf), [], [1]))
+    panel = price_panel(spark, sf)
+    daily = features.temporal_features(features.listing_day(panel), [], [1])
+    out = features.competitive_features(daily, sizes=panel)
     return out.select(*KEY, "price_rank")
 
 
@@ -113,7 +117,8 @@ SELECT l.supermarket, l.product_name, l.date,
 FROM listing l JOIN stats s ON l.canonical_name = s.canonical_name AND l.date = s.date""",
 )
 def market_stats_inclusive(spark, sf):
-    out = features.inclusive_market_stats(daily_of(spark, sf)).withColumn("is_cheapest", F.col("is_cheapest") == 1)
+    panel = price_panel(spark, sf)
+    out = features.inclusive_market_stats(features.listing_day(panel), sizes=panel).withColumn("is_cheapest", F.col("is_cheapest") == 1)
     stats = ["market_avg_price", "market_std_price", "market_min_price", "market_max_price", "price_vs_market_avg"]
     return rounded(out.select(*KEY, *stats, "is_cheapest", "price_rank"), 6, stats, nudge=True)
 
@@ -213,22 +218,18 @@ def requests_of(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(F.min("l_partkey").alias("p_partkey"))
     )
-    places = (
-        load(spark, sf, "customer")
-        .join(load(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("c_custkey", F.col("r_name").alias("supermarket"))
-    )
     part = load(spark, sf, "part").select("p_partkey", "p_name", "p_type")
     low = F.col("o_orderpriority") == "5-LOW"
     return (
         orders.join(first, "o_orderkey")
         .join(part, "p_partkey")
-        .join(places, F.col("o_custkey") == F.col("c_custkey"))
+        .join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(load(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(load(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(
             F.col("o_orderkey").alias("request_id"),
             F.when(low, F.col("p_type")).otherwise(F.col("p_name")).alias("canonical_name"),
-            "supermarket",
+            F.col("r_name").alias("supermarket"),
             F.to_date("o_orderdate").alias("as_of_date"),
             F.when(F.col("o_orderpriority") == "1-URGENT", F.round(F.col("o_totalprice") - 10000, 2)).alias(
                 "price_override"

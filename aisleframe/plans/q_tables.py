@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aisleframe.functions.sampling import draw_order, first_k_per_group, sample_groups, sample_rows
 from aisleframe.functions.text import contains_ci, encoder_text, listing_id, normalise_name
 from aisleframe.operators import clean, contracts, features, market, marts, profile, warehouse
-from aisleframe.panel import load, price_panel, raw_text, retailers
+from aisleframe.panel import load, price_panel, raw_text, with_retailer
 from aisleframe.plans.fragments import BASKETS, FACT, LATEST, LISTING_DAY, MARTS, PANEL
 from aisleframe.plans.registry import query, rounded
 from aisleframe.sources.raw import union_by_name
@@ -228,9 +228,7 @@ SELECT l_orderkey, l_linenumber, trim(regexp_replace(replace(replace(replace(rep
 def name_normalise(spark, sf):
     line = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     part = load(spark, sf, "part").select("p_partkey", "p_name")
-    named = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
-        retailers(spark, sf), F.col("l_suppkey") == F.col("s_suppkey")
-    )
+    named = with_retailer(line.join(part, F.col("l_partkey") == F.col("p_partkey")), spark, sf, "l_suppkey")
     label = F.concat(
         "p_name", F.lit(" "), F.col("l_quantity").cast("int").cast("string"), F.lit("kg, "), "supermarket", F.lit("'s Aldi!")
     )
