@@ -119,6 +119,12 @@ def history_chart(history: DataFrame, predictions: DataFrame | None = None) -> D
     return rows
 
 
+def forecast_delta(history: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Predicted price less the last observed one, per retailer."""
+    last = history.groupBy("supermarket").agg(F.max_by("avg_price", "date").alias("last_price"))
+    return predictions.join(last, "supermarket").withColumn("delta", F.col("predicted_price") - F.col("last_price"))
+
+
 def on_latest_day(fact: DataFrame) -> DataFrame:
     """Rows of the newest day; the date is a scalar subquery the scan can use."""
     latest = fact.agg(F.max("date").alias("d")).scalar()

@@ -402,6 +402,21 @@ def history_with_forecast(spark, sf):
     return rounded(rows, 8, ["avg_price", "predicted_price"])
 
 
+@query(
+    "forecast_delta",
+    f"""WITH {PANEL}, {FACT}, mine AS (SELECT * FROM fact WHERE canonical_name = {FIRST_PRODUCT}),
+s AS (SELECT supermarket, avg(avg_price) AS predicted_price, max_by(avg_price, date) AS last_price FROM mine GROUP BY 1)
+SELECT supermarket, round(predicted_price, 6) AS predicted_price, round(last_price, 6) AS last_price,
+       round(predicted_price - last_price, 6) AS delta FROM s""",
+)
+def forecast_delta(spark, sf):
+    """The long-run mean as the forecast, against the last price."""
+    name = load(spark, sf, "part").agg(F.min("p_name")).first()[0]
+    mine = warehouse.product_history(fact_of(spark, sf), name)
+    mean = mine.groupBy("supermarket").agg(F.avg("avg_price").alias("predicted_price"))
+    return rounded(warehouse.forecast_delta(mine, mean))
+
+
 @query(
     "product_stores",
     f"""WITH {PANEL}
