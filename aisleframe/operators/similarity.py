@@ -9,12 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisleframe.functions.numeric import unit_vector
 from aisleframe.functions.sampling import first_k_per_group, sample_rows
 from aisleframe.session import settle
 
-CHUNK_ROWS = 4096  # vectors a block compares against
-QUERY_ROWS = 16384  # vectors that ask per block
+MIN_BLOCK_ROWS = 4096
+BLOCK_BYTES = 128 * 1024 * 1024  # one side of a block, held as doubles
 MAX_PIVOTS = 256
 SLACK = 1e-6  # radians, covers rounding of angles
 
@@ -27,6 +26,25 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def _unit_rows(column: pd.Series) -> np.ndarray:
+    """Rows scaled to length one; a zero vector stays zero."""
+    x = _matrix(column)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+
+def block_rows(n: int, dims: int, cores: int) -> int:
+    """Rows per side of a block.
+
+    Every vector is sent to each block row and column it meets, so the shuffle
+    shrinks as blocks grow: as large as memory allows, but small enough that
+    the blocks outnumber the cores.
+    """
+    fits = max(1, BLOCK_BYTES // (8 * max(1, dims)))
+    shared = int(n / np.ceil(np.sqrt(2 * max(1, cores))))
+    return int(min(fits, max(MIN_BLOCK_ROWS, shared)))
+
+
 def _top_k(q_ids, q, t_ids, t, k: int, min_sim: float):
     """Best ``k`` targets per query, ties to the smaller id; never the query itself."""
     order = np.argsort(t_ids, kind="stable")
@@ -49,8 +67,10 @@ def _top_k(q_ids, q, t_ids, t, k: int, min_sim: float):
     return [np.concatenate(parts) for parts in zip(*out)]
 
 
-def nearest_distinct(distinct: DataFrame, k: int, min_sim: float, seed: int = 42, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(rep, nb, sim): the ``k`` nearest others of each distinct unit vector.
+def nearest_distinct(
+    distinct: DataFrame, k: int, min_sim: float, seed: int = 42, chunk_rows: int | None = None
+) -> DataFrame:
+    """(rep, nb, sim): the ``k`` nearest others of each distinct vector, by cosine.
 
     Vectors live in the cell of their nearest pivot, large cells in several
     chunks. A first pass inside the own chunk bounds how far the k-th
@@ -59,17 +79,20 @@ def nearest_distinct(distinct: DataFrame, k: int, min_sim: float, seed: int = 42
     rows per visitor, never all pairs.
     """
     spark = distinct.sparkSession
-    n = distinct.count()
+    size = distinct.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dims")).first()
+    n = size["n"]
+    chunk_rows = chunk_rows or block_rows(n, size["dims"] or 1, spark.sparkContext.defaultParallelism)
     n_pivots = int(min(MAX_PIVOTS, max(1, -(-n // chunk_rows))))
-    id_type = dict(distinct.dtypes)["rep"]
-    pivots = np.array([r["vec"] for r in sample_rows(distinct, n_pivots, ["rep"], seed).select("vec").collect()])
+    id_type, vec_type = (dict(distinct.dtypes)[c] for c in ("rep", "vec"))
+    picked = [r["vec"] for r in sample_rows(distinct, n_pivots, ["rep"], seed).select("vec").collect()]
+    pivots = _unit_rows(pd.Series(picked)) if picked else np.zeros((1, 1))
     reach = float(_angles(np.array([min_sim]))[0]) if min_sim > -1.0 else np.pi
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            angles = _angles(_matrix(pdf["vec"]) @ pivots.T)
+            angles = _angles(_unit_rows(pdf["vec"]) @ pivots.T)
             home = angles.argmin(axis=1)
             yield pd.DataFrame(
                 {
@@ -83,7 +106,7 @@ def nearest_distinct(distinct: DataFrame, k: int, min_sim: float, seed: int = 42
 
     placed = settle(
         distinct.select("rep", "vec").mapInPandas(
-            assign, f"rep {id_type}, vec array<double>, cell int, angle double, angles array<double>"
+            assign, f"rep {id_type}, vec {vec_type}, cell int, angle double, angles array<double>"
         )
     )
     # At most MAX_PIVOTS rows.
@@ -107,7 +130,7 @@ def nearest_distinct(distinct: DataFrame, k: int, min_sim: float, seed: int = 42
 
     def plan_visits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
-        x = _matrix(pdf["vec"])
+        x = _unit_rows(pdf["vec"])
         radius = np.full(len(pdf), reach)
         if total > 1 and len(pdf) > k:
             for lo in range(0, len(pdf), 1024):
@@ -122,10 +145,10 @@ def nearest_distinct(distinct: DataFrame, k: int, min_sim: float, seed: int = 42
         visits = [np.concatenate([chunk_lists[j] for j in np.nonzero(row)[0]]) for row in reachable]
         return pd.DataFrame({"rep": pdf["rep"], "vec": pdf["vec"], "visits": visits})
 
-    splits = int(-(-n // QUERY_ROWS))
+    splits = int(max(1, -(-n // chunk_rows)))
     asks = (
         placed.groupBy("chunk")
-        .applyInPandas(plan_visits, f"rep {id_type}, vec array<double>, visits array<int>")
+        .applyInPandas(plan_visits, f"rep {id_type}, vec {vec_type}, visits array<int>")
         .select("rep", "vec", F.explode("visits").alias("chunk"), F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(splits)).alias("split"))
     )
     targets = placed.select(
@@ -136,7 +159,7 @@ def nearest_distinct(distinct: DataFrame, k: int, min_sim: float, seed: int = 42
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"rep": left["rep"].iloc[:0], "nb": left["rep"].iloc[:0], "sim": np.empty(0)})
         rep, nb, sim = _top_k(
-            left["rep"].to_numpy(), _matrix(left["vec"]), right["rep"].to_numpy(), _matrix(right["vec"]), k, min_sim
+            left["rep"].to_numpy(), _unit_rows(left["vec"]), right["rep"].to_numpy(), _unit_rows(right["vec"]), k, min_sim
         )
         return pd.DataFrame({"rep": rep, "nb": nb, "sim": sim})
 
@@ -154,7 +177,7 @@ def nearest_neighbours(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     min_sim: float = -1.0,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """(src, dst, sim, rank): exact cosine top-k of every row, self excluded.
 
@@ -162,7 +185,7 @@ def nearest_neighbours(
     once: only the k + 1 smallest ids of a set of copies can be a neighbour of
     anything, so a huge set of copies stays small.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), unit_vector(F.col(vec_col)).alias("vec"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     members = (
         first_k_per_group(rows, ["vec"], [F.col("id").asc()], k + 1)
         .groupBy("vec")

@@ -280,9 +280,9 @@ def fact_price_daily(spark, sf):
 OVERVIEW_SQL = f"""WITH {MARTS},
 overview AS (
   SELECT f.supermarket, count(DISTINCT f.canonical_name) AS portfolio_size,
-         avg(CASE WHEN d.own_brand THEN 1.0 ELSE 0.0 END) * 100 AS own_brand_pct,
-         CAST(sum(CASE WHEN d.own_brand THEN 1 ELSE 0 END) AS BIGINT) AS own_brand_count,
-         CAST(sum(CASE WHEN d.own_brand THEN 0 ELSE 1 END) AS BIGINT) AS branded_count,
+         100.0 * count(*) FILTER (WHERE d.own_brand) / count(*) AS own_brand_pct,
+         count(*) FILTER (WHERE d.own_brand) AS own_brand_count,
+         count(*) FILTER (WHERE d.own_brand IS NOT TRUE) AS branded_count,
          min(f.avg_price) AS min_price, quantile_cont(f.avg_price, 0.25) AS price_p25,
          median(f.avg_price) AS price_median, quantile_cont(f.avg_price, 0.75) AS price_p75,
          max(f.avg_price) AS max_price

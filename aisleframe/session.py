@@ -16,6 +16,8 @@ DEFAULTS = {
     # A split of a hot join key is worth one more exchange after the join.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files of finished rounds go when nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 

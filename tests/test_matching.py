@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aisleframe.functions.numeric import dot, unit_vector
 from aisleframe.functions.text import normalise_name
 from aisleframe.operators import matching, similarity
 
@@ -35,7 +36,19 @@ def vectors(spark, ids, x):
     return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x)], "vec_id long, embedding array<float>")
 
 
-@pytest.mark.parametrize("chunk_rows, min_sim", [(4096, -1.0), (25, -1.0), (25, 0.6)])
+def test_block_size_follows_memory_and_cores():
+    assert similarity.block_rows(2_000, 64, 8) == 4096
+    assert similarity.block_rows(114_000, 1024, 8) == 16384
+    assert similarity.block_rows(10_000_000, 64, 8000) == 78740
+
+
+def test_vector_expressions(spark):
+    df = spark.createDataFrame([([3.0, 4.0], [1.0, 2.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    rows = df.select(unit_vector(F.col("a")).alias("u"), dot(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [(r.u, r.d) for r in rows] == [([0.6, 0.8], 11.0), ([0.0, 0.0], 0.0)]
+
+
+@pytest.mark.parametrize("chunk_rows, min_sim", [(None, -1.0), (25, -1.0), (25, 0.6)])
 def test_neighbours_equal_brute_force(spark, chunk_rows, min_sim):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(6, 8))
