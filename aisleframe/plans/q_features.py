@@ -83,14 +83,14 @@ def event_gaps(spark, sf):
 @query(
     "competitive_loo",
     f"""WITH {PANEL}, {LISTING_DAY}, {temporal([7], [1])}, {COMPETITIVE}
-SELECT supermarket, product_name, date, round(price_vs_market_avg, 6) AS price_vs_market_avg, is_cheapest_in_market
+SELECT supermarket, product_name, date, round(price_vs_market_avg + 1e-9, 6) AS price_vs_market_avg, is_cheapest_in_market
 FROM competitive""",
 )
 def competitive_loo(spark, sf):
     panel = price_panel(spark, sf)
     daily = features.temporal_features(features.listing_day(panel), [], [1])
     out = features.competitive_features(daily, sizes=panel)
-    return rounded(out.select(*KEY, "price_vs_market_avg", "is_cheapest_in_market"))
+    return rounded(out.select(*KEY, "price_vs_market_avg", "is_cheapest_in_market"), nudge=True)
 
 
 @query(
