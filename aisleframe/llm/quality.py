@@ -113,15 +113,14 @@ def quality(
     out = out.withColumn(sound, F.transform(good, lambda x: x["line"]))
     total = F.length(F.array_join(full, ""))
     left = F.length(F.array_join(sound, ""))
-    return (
-        out.withColumn(
-            "base_failed",
-            (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct),
-        )
-        .withColumn("kept", ~F.col("base_failed") & ((total - left) <= total * F.lit(max_lost)))
-        .withColumn("clean_text", F.array_join(sound, "\n"))
-        .drop(w, h, s, p, body, lines, full, sound)
+    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
+    out = out.withColumn("base_failed", failed).withColumns(
+        {"kept": ~F.col("base_failed") & ((total - left) <= total * F.lit(max_lost)), "clean_text": F.array_join(sound, "\n")}
     )
+    # The results leave through a generator, below which no later filter is pushed:
+    # it would repeat the chain above once per element.
+    carried = [c for c in docs.columns if c.lower() not in RESULTS]
+    return out.select(*carried, F.inline(F.array(F.struct(*RESULTS))))
 
 
 def keep_good(docs: DataFrame, **settings) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aisleframe.llm import mixing, quality, simhash, tokens, warc
+from aisleframe.llm import decontam, line_dedup, mixing, quality, simhash, tokens, warc
 from aisleframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +74,41 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.0, most_copies=3).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(
+    "op10_line_dedup",
+    r"""
+WITH l AS (
+  SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS at, unnest(string_split(text, chr(10))) AS line
+  FROM documents),
+w AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word FROM l),
+f AS (SELECT line, min(CAST(doc_id AS HUGEINT) * 1000000000 + at) AS pos FROM w WHERE has_word GROUP BY line),
+k AS (
+  SELECT line, pos, unnest(['l', 'l', 'r', 'r']) AS side, unnest([n, n - 1, n, n - 1]) AS m,
+         unnest(["left"(line, n // 2), "left"(line, (n - 1) // 2), "right"(line, n // 2), "right"(line, (n - 1) // 2)]) AS half
+  FROM (SELECT line, pos, length(line) AS n FROM f) WHERE n >= 20),
+near AS (
+  SELECT DISTINCT a.line FROM k a JOIN k b ON a.side = b.side AND a.m = b.m AND a.half = b.half AND b.pos < a.pos
+  WHERE abs(length(a.line) - length(b.line)) <= 1
+    AND len(list_filter(range(0, length(a.line) + 1), lambda i: "left"(a.line, i) = "left"(b.line, i)
+      AND (substr(a.line, i + 2) = substr(b.line, i + 2) OR substr(a.line, i + 2) = substr(b.line, i + 1)
+        OR substr(a.line, i + 1) = substr(b.line, i + 2)))) > 0),
+j AS (
+  SELECT w.doc_id, w.at, w.line, w.has_word, near.line IS NOT NULL AS is_near,
+         w.has_word AND (near.line IS NOT NULL OR f.pos <> CAST(w.doc_id AS HUGEINT) * 1000000000 + w.at) AS gone
+  FROM w LEFT JOIN f ON w.has_word AND w.line = f.line LEFT JOIN near ON w.has_word AND w.line = near.line)
+SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       count(*) FILTER (gone AND is_near) AS n_near,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS text_md5
+FROM j GROUP BY doc_id""",
+)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", "n_near", F.md5("text").alias("text_md5")
+    )
