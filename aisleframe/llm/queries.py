@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import decontam, line_dedup, mixing, quality, simhash, tokens, warc
+from aisleframe.llm import decontam, line_dedup, lm_score, mixing, pii, quality, simhash, suffix, tokens, warc
 from aisleframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"), words=3, distance=2, parts=4)
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), length=400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The key of the test tables; a deployment passes a secret one.
+    return pii.protect(table(spark, sf_dir, "documents"), key=b"key of the synthetic test tables")
+
+
 @query("op5_token_counts")
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), limit=512)
@@ -76,6 +89,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_lm_score")
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return lm_score.cross_entropy_difference(
+        table(spark, sf_dir, "documents"), labels.filter("quality = 1 AND toxic = 0").select("doc_id")
+    )
+
+
 @query("op8_decontamination")
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -85,10 +106,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op10_line_dedup",
     r"""
 WITH l AS (
-  SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS at, unnest(string_split(text, chr(10))) AS line
+  SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS nr, unnest(string_split(text, chr(10))) AS line
   FROM documents),
 w AS (SELECT *, regexp_matches(line, '[^\x20\x09-\x0D]') AS has_word FROM l),
-f AS (SELECT line, min(CAST(doc_id AS HUGEINT) * 1000000000 + at) AS pos FROM w WHERE has_word GROUP BY line),
+f AS (SELECT line, min(CAST(doc_id AS HUGEINT) * 1000000000 + nr) AS pos FROM w WHERE has_word GROUP BY line),
 k AS (
   SELECT line, pos, unnest(['l', 'l', 'r', 'r']) AS side, unnest([n, n - 1, n, n - 1]) AS m,
          unnest(["left"(line, n // 2), "left"(line, (n - 1) // 2), "right"(line, n // 2), "right"(line, (n - 1) // 2)]) AS half
@@ -100,12 +121,12 @@ near AS (
       AND (substr(a.line, i + 2) = substr(b.line, i + 2) OR substr(a.line, i + 2) = substr(b.line, i + 1)
         OR substr(a.line, i + 1) = substr(b.line, i + 2)))) > 0),
 j AS (
-  SELECT w.doc_id, w.at, w.line, w.has_word, near.line IS NOT NULL AS is_near,
-         w.has_word AND (near.line IS NOT NULL OR f.pos <> CAST(w.doc_id AS HUGEINT) * 1000000000 + w.at) AS gone
+  SELECT w.doc_id, w.nr, w.line, w.has_word, near.line IS NOT NULL AS is_near,
+         w.has_word AND (near.line IS NOT NULL OR f.pos <> CAST(w.doc_id AS HUGEINT) * 1000000000 + w.nr) AS gone
   FROM w LEFT JOIN f ON w.has_word AND w.line = f.line LEFT JOIN near ON w.has_word AND w.line = near.line)
 SELECT doc_id, count(*) FILTER (has_word) AS n_lines, count(*) FILTER (gone) AS n_removed,
        count(*) FILTER (gone AND is_near) AS n_near,
-       md5(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS text_md5
+       md5(coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (NOT gone), '')) AS text_md5
 FROM j GROUP BY doc_id""",
 )
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,12 +137,22 @@ def bit_groups(prints: DataFrame, lanes: int, per_lane: int) -> list[tuple[int,
     return groups
 
 
-def _value(lane: Column, bits: list[int]) -> Column:
-    """The partition's bits of a lane, packed from bit 0 up."""
-    out = F.lit(0).cast("long")
-    for i, b in enumerate(bits):
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(lane, b).bitwiseAND(F.lit(1).cast("long")), i))
-    return out
+def _cells(groups: list[tuple[int, list[int]]]):
+    """mapInArrow body: (id, lanes) to (id, part, value), the bits of a group packed from bit 0 up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, -1)
+            for i, (lane, bits) in enumerate(groups):
+                value = np.zeros(n, np.int64)
+                for k, b in enumerate(bits):
+                    value |= ((v[:, lane] >> np.int64(b)) & 1) << np.int64(k)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(np.full(n, i, np.int32)), pa.array(value)], names=["id", "part", "value"]
+                )
+
+    return run
 
 
 def allocate(counts: np.ndarray, widths: list[int], ways: np.ndarray, distance: int, top: int) -> np.ndarray:
@@ -200,10 +210,7 @@ def probes(prints: DataFrame, lanes: int, per_lane: int, distance: int, top: int
     """
     groups = bit_groups(prints, lanes, per_lane)
     widths, parts = [len(g) for _, g in groups], len(groups)
-    cells = F.array(
-        *[F.struct(F.lit(i).alias("part"), _value(F.col("lanes")[k], g).alias("value")) for i, (k, g) in enumerate(groups)]
-    )
-    index = settle(prints.select("id", F.inline(cells)))
+    index = settle(prints.select("id", "lanes").mapInArrow(_cells(groups), "id long, part int, value long"))
     sizes = settle(index.groupBy("part", "value").agg(F.count("*").alias("n")))
     mean = {r["part"]: r["mean"] for r in sizes.groupBy("part").agg(F.avg("n").alias("mean")).collect()}
     # Expected fingerprints behind one flipped value: the mean over the values there are.
