@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from aisleframe.session import ensure_checkpoint_dir, settle
 
-__all__ = ["fresh", "settle", "shared_folder", "table", "words_of"]
+__all__ = ["fresh", "settle", "shared_folder", "stored", "table", "words_of"]
 
 #: A word is a run of characters other than ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -30,6 +30,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet and go on from there.
+
+    Like a checkpoint it outlives the executors that made it; unlike one it is
+    compressed, and Spark knows its size when it plans a join.
+    """
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if the frame has such a column (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisleframe.llm.common import fresh, settle
+from aisleframe.llm.common import fresh, stored
 
 P1, P2 = 2_147_483_647, 2_147_483_629
 B1, B2 = 1_000_003, 777_767_777
@@ -119,21 +119,25 @@ def dropped_lines(docs: DataFrame, id_col: str, text: str, min_near: int = 20) -
             ]
         ),
     )
-    first = settle(
+    first = stored(
         named.withColumns({"place": place, "halves": halves})
         .groupBy("h1", "h2")
-        .agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves"))
+        .agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves")),
+        "lines",
     )
-    half = first.filter("halves IS NOT NULL").select("h1", "h2", "place", F.explode(F.array_distinct("halves")).alias("half"))
+    half = first.filter("halves IS NOT NULL").select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    able = half.join(shared, "half").select("h1", "h2", "place").distinct()
-    near_lines = settle(
+    able = half.join(shared, "half").select("h1", "h2").distinct()
+    able = stored(able.join(first.select("h1", "h2", "place"), ["h1", "h2"]), "able")
+    near_lines = stored(
         named.join(able, ["h1", "h2"])
         .filter((F.col("doc") == F.col("place.doc")) & (F.col("at") == F.col("place.at")))
         .select("place", "h1", "h2", "line")
-        .dropDuplicates(["h1", "h2"])
+        .dropDuplicates(["h1", "h2"]),
+        "near",
     )
-    emitted = settle(near_lines.select("place", "line").mapInArrow(_emit, f"place {first.schema['place'].dataType.simpleString()}, key long, spot int"))
+    kind = first.schema["place"].dataType.simpleString()
+    emitted = stored(near_lines.select("place", "line").mapInArrow(_emit, f"place {kind}, key long, spot int"), "deletions")
     # Replaced character: all members of (key, spot) are near the earliest of them.
     swaps = emitted.filter("spot >= 0").groupBy("key", "spot").agg(F.min("place").alias("to"), F.count("*").alias("n"))
     by_swap = emitted.join(swaps.filter("n > 1").drop("n"), ["key", "spot"]).filter("place > to").select("place", "to")
@@ -173,13 +177,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     base = docs.drop(*[c for c in docs.columns if c.lower() in made and c not in (id_col, text)])
     doc, at, gone = fresh(base, "_doc"), fresh(base, "_at"), fresh(base, "_gone")
     # Repeats of a document give the same (doc, at) more than once.
-    removed = (
+    removed = stored(
         dropped_lines(docs, id_col, text, min_near)
         .groupBy(F.col("doc").alias(doc))
         .agg(
             F.collect_set("at").alias(at),
             F.size(F.collect_set(F.when(F.col("near"), F.col("at")))).alias(gone),
-        )
+        ),
+        "removed",
     )
     parts = F.split(text, "\n")
     # A map looks up by scanning, so the flags are an array by place.

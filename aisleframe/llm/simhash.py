@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisleframe.llm.common import fresh, settle
+from aisleframe.llm.common import fresh, settle, stored
 from aisleframe.operators.similarity import connected_components
 
 #: Partition values with more fingerprints than this are linked through mid-points.
@@ -210,12 +210,12 @@ def probes(prints: DataFrame, lanes: int, per_lane: int, distance: int, top: int
     """
     groups = bit_groups(prints, lanes, per_lane)
     widths, parts = [len(g) for _, g in groups], len(groups)
-    index = settle(prints.select("id", "lanes").mapInArrow(_cells(groups), "id long, part int, value long"))
-    sizes = settle(index.groupBy("part", "value").agg(F.count("*").alias("n")))
+    index = stored(prints.select("id", "lanes").mapInArrow(_cells(groups), "id long, part int, value long"), "cells")
+    sizes = stored(index.groupBy("part", "value").agg(F.count("*").alias("n")), "sizes")
     mean = {r["part"]: r["mean"] for r in sizes.groupBy("part").agg(F.avg("n").alias("mean")).collect()}
     # Expected fingerprints behind one flipped value: the mean over the values there are.
     ways = np.array([mean.get(i, 0.0) for i in range(parts)])
-    counted = settle(index.join(sizes, ["part", "value"]).select("id", "part", "value", "n"))
+    counted = stored(index.join(sizes, ["part", "value"]).select("id", "part", "value", "n"), "counted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = {(w, t): flips(w, t) for w in set(widths) for t in range(top + 1)}
@@ -333,22 +333,25 @@ def one_of_each_group(
     keyed = docs.withColumn(doc, F.xxhash64(F.col(id_col), F.col(text)))
     body = F.coalesce(F.col(text), F.lit(""))
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(doc).alias("doc"))
-    same = settle(
+    same = (
         keyed.select(place.alias("place"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit("2"), body).alias("h2"))
         .groupBy("h1", "h2")
         .agg(F.min("place").alias("place"))
-        .select("place", F.col("place.doc").alias("id"))
+        .select("place")
     )
-    first = keyed.join(same.select(F.col("id").alias(doc)), doc, "left_semi")
-    prints = settle(
-        fingerprints(first, doc, text, words, lanes).withColumnRenamed(doc, "id").dropDuplicates(["id"]).join(same, "id")
+    # Numbers that rise with the place stand for the texts from here on.
+    same = stored(
+        same.repartitionByRange("place")
+        .sortWithinPartitions("place")
+        .select(F.monotonically_increasing_id().alias("id"), F.col("place.doc").alias(doc)),
+        "texts",
     )
+    prints = fingerprints(keyed.join(same.select(doc), doc, "left_semi"), doc, text, words, lanes).dropDuplicates([doc])
+    prints = stored(prints.join(same, doc).select("id", "lanes"), "prints")
     counted, asked = probes(prints, lanes, per_lane, lanes * per_lane - 1, 1)
-    hint = prints.select("id", "place", F.col("lanes")[0].alias("hint"))
-    index = settle(
-        counted.filter("n > 1").select("id", "part", "value").join(hint, "id")
-    )
-    asked = settle(asked.join(index.select("part", "value").distinct(), ["part", "value"], "left_semi").join(hint, "id"))
+    hint = prints.select("id", F.col("lanes")[0].alias("hint"))
+    index = counted.filter("n > 1").select("id", "part", "value")
+    asked = stored(asked.join(index.select("part", "value").distinct(), ["part", "value"], "left_semi"), "asked")
     gone: DataFrame | None = None
     take = 1
     # Angle of two sets at the similarity, and five standard deviations above the share of bits it turns.
@@ -356,44 +359,52 @@ def one_of_each_group(
     share = float(np.arccos(cosine) / np.pi)
     most = [int(np.ceil(b * share + 5 * np.sqrt(b * share * (1 - share)))) for b in (64, 64 * lanes)]
     while index.limit(1).count():
-        rank = F.row_number().over(Window.partitionBy("part", "value").orderBy("place"))
+        rank = F.row_number().over(Window.partitionBy("part", "value").orderBy("id"))
         ranked = index.withColumn("rank", rank)
-        heads = ranked.filter(F.col("rank") <= take).select(
-            "part", "value", F.col("id").alias("to"), F.col("place").alias("to_place"), F.col("hint").alias("to_hint")
-        )
+        heads = ranked.filter(F.col("rank") <= take).join(hint, "id")
+        heads = heads.select("part", "value", F.col("id").alias("to"), F.col("hint").alias("to_hint"))
         close = F.bit_count(F.col("hint").bitwiseXOR(F.col("to_hint"))) <= most[0]
         met = (
-            asked.join(heads, ["part", "value"]).filter((F.col("place") > F.col("to_place")) & close).select("id", "to").distinct()
+            asked.join(hint, "id")
+            .join(heads, ["part", "value"])
+            .filter((F.col("id") > F.col("to")) & close)
+            .select("id", "to")
+            .distinct()
         )
         apart = F.aggregate(
             F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
         )
-        near = settle(
+        near = stored(
             met.join(prints.select("id", F.col("lanes").alias("a")), "id")
             .join(prints.select(F.col("id").alias("to"), F.col("lanes").alias("b")), "to")
             .filter(apart <= most[1])
-            .select("id", "to")
+            .select("id", "to"),
+            "near",
         )
         involved = near.select("id").unionByName(near.select(F.col("to").alias("id"))).distinct()
-        texts = keyed.join(involved.withColumnRenamed("id", doc), doc, "left_semi")
-        sets = settle(_shingle_sets(texts, doc, text, words).dropDuplicates(["id"]))
+        involved = stored(involved.join(same, "id"), "involved")
+        sets = _shingle_sets(keyed.join(involved.select(doc), doc, "left_semi"), doc, text, words)
+        sets = sets.withColumnRenamed("id", doc).dropDuplicates([doc])
+        sets = stored(sets.join(involved, doc).select("id", "shingles"), "sets")
         both = F.size(F.array_intersect("a", "b"))
-        found = settle(
+        found = stored(
             near.join(sets.select("id", F.col("shingles").alias("a")), "id")
             .join(sets.select(F.col("id").alias("to"), F.col("shingles").alias("b")), "to")
             .filter(both >= similarity * (F.size("a") + F.size("b") - both))
             .select("id")
-            .distinct()
+            .distinct(),
+            "found",
         )
-        gone = found if gone is None else settle(gone.unionByName(found))
+        gone = found if gone is None else gone.unionByName(found)
         # What has been a leader has met all it can meet in that value.
         rest = ranked.filter(F.col("rank") > take).drop("rank").join(found, "id", "left_anti")
-        index = settle(rest)
-        asked = settle(
-            asked.join(found, "id", "left_anti").join(index.select("part", "value").distinct(), ["part", "value"], "left_semi")
+        index = stored(rest, "index")
+        asked = stored(
+            asked.join(found, "id", "left_anti").join(
+                index.select("part", "value").distinct(), ["part", "value"], "left_semi"
+            ),
+            "asked",
         )
         take = leaders
-    kept = same.select(F.col("id").alias(doc))
-    if gone is not None:
-        kept = kept.join(gone.select(F.col("id").alias(doc)), doc, "left_anti")
-    return keyed.join(kept, doc, "left_semi").select(*docs.columns)
+    kept = same if gone is None else same.join(gone, "id", "left_anti")
+    return keyed.join(kept.select(doc), doc, "left_semi").select(*docs.columns)

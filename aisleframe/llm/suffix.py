@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisleframe.llm.common import settle
-from aisleframe.llm.line_dedup import B1, B2, P1, P2, powers
+from aisleframe.llm.common import stored
 
 #: Different slices of one key that one task sorts.
-SORTED_TOGETHER = 20_000
+SORTED_TOGETHER = 4_000
+#: Odd base of the polynomial hashes.
+BASE = 0x9E3779B97F4A7C15
 #: Bytes of slices that are sorted in one go.
-SORTED_BYTES = 8_000_000
+SORTED_BYTES = 1_000_000
 
 
 def _signed(x: int) -> int:
@@ -98,25 +99,29 @@ def _scan(length: int):
     return run
 
 
+def powers_of(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
 class Prefixes:
-    """Prefix polynomial hashes of a byte array modulo two primes."""
+    """Prefix polynomial hashes of a byte array, modulo 2**64 with an odd base."""
 
     def __init__(self, data: np.ndarray):
-        self.data, self.tables = data, []
-        codes = data.astype(np.uint64) + np.uint64(1)
-        for base, mod in ((B1, P1), (B2, P2)):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(codes * powers(base, mod, len(data)) % np.uint64(mod), out=sums[1:])
-            self.tables.append((sums % np.uint64(mod), powers(pow(base, -1, mod), mod, len(data) + 1), np.uint64(mod)))
+        self.data = data
+        n = len(data) + 1
+        with np.errstate(over="ignore"):
+            scale = powers_of(BASE, n)
+            self.back = powers_of(pow(BASE, -1, 2**64), n)
+            self.sums = np.zeros(n, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * scale[:-1], out=self.sums[1:])
 
     def equal(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Whether the n bytes from a and from b have equal hashes."""
-        same = np.ones(len(a), bool)
-        for sums, back, mod in self.tables:
-            x = (sums[a + n] + mod - sums[a]) % mod * back[a] % mod
-            y = (sums[b + n] + mod - sums[b]) % mod * back[b] % mod
-            same &= x == y
-        return same
+        with np.errstate(over="ignore"):
+            return (self.sums[a + n] - self.sums[a]) * self.back[a] == (self.sums[b + n] - self.sums[b]) * self.back[b]
 
     def extension(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Length of the common extension, ``most`` at the most, by binary search."""
@@ -290,11 +295,12 @@ def _windows(length: int):
 def spans(keyed: DataFrame, length: int) -> DataFrame:
     """(doc, lo, hi): byte ranges of (doc, text) that repeats cover; they may overlap."""
     found = keyed.mapInArrow(_scan(length), "doc long, anchor long, lo long, hi long, key long, sig long")
-    found = settle(found)
-    slices = settle(
+    found = stored(found, "anchors")
+    slices = stored(
         found.groupBy("key", "sig").agg(
             F.count("*").alias("n"), F.min(F.struct("doc", "lo", "hi", "anchor")).alias("at")
-        )
+        ),
+        "slices",
     )
     whole = found.join(slices.filter("n > 1").select("key", "sig"), ["key", "sig"])
     whole = whole.select("doc", "lo", (F.col("hi") + length).alias("hi"))
@@ -306,7 +312,7 @@ def spans(keyed: DataFrame, length: int) -> DataFrame:
         .agg(F.collect_list("a").alias("asked"))
     )
     cut = keyed.dropDuplicates(["doc"]).join(asked, "doc").select("doc", "text", "asked").mapInArrow(_cut(length), SLICES)
-    cut = settle(cut)
+    cut = stored(cut, "cut")
     crowded = mixed.filter(F.col("kinds") > SORTED_TOGETHER).select("key")
     sorted_ = (
         cut.join(crowded, "key", "left_anti").select("key", "doc", "lo", "offset", "n", "bytes")
