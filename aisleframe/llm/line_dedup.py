@@ -70,8 +70,8 @@ def deletion_hashes(line: str) -> tuple[int, np.ndarray]:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, line) to (place, key, spot): spot -1 is the line itself."""
-    names = ["place", "key", "spot"]
+    """(no, line) to (no, key, spot): spot -1 is the line itself."""
+    names = ["no", "key", "spot"]
     for batch in batches:
         held, rows = [], 0
         for i, line in enumerate(batch.column(1).to_pylist()):
@@ -129,31 +129,36 @@ def dropped_lines(docs: DataFrame, id_col: str, text: str, min_near: int = 20) -
     shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
     able = half.join(shared, "half").select("h1", "h2").distinct()
     able = stored(able.join(first.select("h1", "h2", "place"), ["h1", "h2"]), "able")
-    near_lines = stored(
+    candidates = (
         named.join(able, ["h1", "h2"])
         .filter((F.col("doc") == F.col("place.doc")) & (F.col("at") == F.col("place.at")))
-        .select("place", "h1", "h2", "line")
-        .dropDuplicates(["h1", "h2"]),
+        .dropDuplicates(["h1", "h2"])
+    )
+    # Numbers that rise with the place stand for the lines from here on.
+    numbered = stored(
+        candidates.select("place", "line")
+        .repartitionByRange("place")
+        .sortWithinPartitions("place")
+        .select(F.monotonically_increasing_id().alias("no"), "place", "line"),
         "near",
     )
-    kind = first.schema["place"].dataType.simpleString()
-    emitted = stored(near_lines.select("place", "line").mapInArrow(_emit, f"place {kind}, key long, spot int"), "deletions")
-    # Replaced character: all members of (key, spot) are near the earliest of them.
-    swaps = emitted.filter("spot >= 0").groupBy("key", "spot").agg(F.min("place").alias("to"), F.count("*").alias("n"))
-    by_swap = emitted.join(swaps.filter("n > 1").drop("n"), ["key", "spot"]).filter("place > to").select("place", "to")
-    # Missing character: the line itself against all that become it by a deletion.
+    emitted = stored(numbered.select("no", "line").mapInArrow(_emit, "no long, key long, spot int"), "deletions")
     ends = emitted.groupBy("key").agg(
-        F.min(F.when(F.col("spot") < 0, F.col("place"))).alias("whole"),
-        F.min(F.when(F.col("spot") >= 0, F.col("place"))).alias("longer"),
+        F.count("*").alias("n"),
+        F.min(F.when(F.col("spot") < 0, F.col("no"))).alias("whole"),
+        F.min(F.when(F.col("spot") >= 0, F.col("no"))).alias("longer"),
     )
-    ends = ends.filter("whole IS NOT NULL AND longer IS NOT NULL")
-    to_whole = emitted.filter("spot >= 0").join(ends, "key").filter("place > whole").select("place", F.col("whole").alias("to"))
-    to_longer = ends.filter("whole > longer").select(F.col("whole").alias("place"), F.col("longer").alias("to"))
+    met = stored(emitted.join(ends.filter("n > 1"), "key").select("no", "key", "spot", "whole", "longer"), "met")
+    # Replaced character: all members of (key, spot) are near the earliest of them.
+    swaps = met.filter("spot >= 0").groupBy("key", "spot").agg(F.min("no").alias("to"), F.count("*").alias("n"))
+    by_swap = met.join(swaps.filter("n > 1").drop("n"), ["key", "spot"]).filter("no > to").select("no", "to")
+    # Missing character: the line itself against all that become it by a deletion.
+    to_whole = met.filter("spot >= 0 AND no > whole").select("no", F.col("whole").alias("to"))
+    to_longer = met.filter("spot < 0 AND no > longer").select("no", F.col("longer").alias("to"))
     links = by_swap.unionByName(to_whole).unionByName(to_longer).distinct()
-    texts = near_lines.select("place", "line")
     gone = (
-        links.join(texts.withColumnRenamed("line", "a"), "place")
-        .join(texts.select(F.col("place").alias("to"), F.col("line").alias("b")), "to")
+        links.join(numbered.select("no", "place", F.col("line").alias("a")), "no")
+        .join(numbered.select(F.col("no").alias("to"), F.col("line").alias("b")), "to")
         .filter(F.levenshtein("a", "b", 1).between(0, 1))
         .select("place")
         .distinct()
