@@ -3,8 +3,9 @@
 Of all document rates, capped at ``most_copies``, those closest in relative
 entropy to "every document once" that give each source its target of words are
 ``min(most_copies, exp(lambda_source * size / mean size of the source))``. The
-multipliers solve the convex dual by Newton steps; each step is one aggregation
-over the corpus, kept as exact counts per source and size. Rates become whole
+multipliers solve the convex dual by Newton steps. Words and rates depend on
+source and size alone, so the steps run on exact counts per source and size,
+each source in its own task. Rates become whole
 copies size by size, the rest of each rounding carried to the next smaller
 size, so a source misses its target by no more than its short documents.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,62 +68,46 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most_c
     return ranked.withColumn("target", F.least(most.cast("double"), F.col("_weight") * level)).drop("_weight")
 
 
-def solve(cells: DataFrame, sources: DataFrame, most_copies: int, tolerance: float = 1e-10) -> DataFrame:
-    """Adds ``_lambda`` to the sources: Newton on the dual, kept inside a bracket.
+def solve(size: np.ndarray, n: np.ndarray, target: float, most_copies: int, tolerance: float = 1e-10) -> np.ndarray:
+    """The rate of each size of one source: Newton on the dual, kept inside a bracket.
 
-    The words of a source grow with its multiplier, so each step also narrows
-    the bracket; a Newton step that leaves it is replaced by its middle. The
-    loop ends when every source has its target or no room to move.
+    The words taken grow with the multiplier, so each step also narrows the
+    bracket; a Newton step that leaves it is replaced by its middle.
     """
-    near = tolerance * F.greatest(F.col("target"), F.lit(1.0))
-    state = settle(
-        sources.withColumns({"_lambda": F.lit(0.0), "_low": F.lit(None).cast("double"), "_high": F.lit(None).cast("double")})
-    )
+    words = size * n
+    total = words.sum()
+    if target >= total * most_copies * (1 - 1e-12):
+        return np.full(len(size), float(most_copies))
+    x = size * n.sum() / total
+    at, low, high = 0.0, -np.inf, np.inf
     while True:
-        tilt = F.exp(F.col("_lambda") * F.col("_x"))
-        rate = F.least(F.lit(float(most_copies)), tilt)
-        words = F.col("_size") * F.col("_n")
-        now = (
-            cells.join(state, ["_none", "_name"])
-            .withColumn("_x", F.col("_size") * F.col("_docs") / F.col("words"))
-            .groupBy("_none", "_name")
-            .agg(
-                F.sum(words * rate).alias("_got"),
-                F.sum(F.when(tilt < most_copies, words * F.col("_x") * tilt).otherwise(0.0)).alias("_slope"),
-            )
-        )
-        s = state.join(now, ["_none", "_name"])
-        off = F.col("_got") - F.col("target")
-        done = (F.abs(off) <= near) | (F.col("_high") - F.col("_low") <= 1e-13 * (1 + F.abs("_lambda")))
-        low = F.when(off < 0, F.col("_lambda")).otherwise(F.col("_low"))
-        high = F.when(off > 0, F.col("_lambda")).otherwise(F.col("_high"))
-        s = s.withColumns({"_done": F.coalesce(done, F.lit(False)), "_low": low, "_high": high})
-        newton = F.col("_lambda") - off / F.col("_slope")
-        inside = (F.col("_slope") > 0) & F.coalesce(newton > F.col("_low"), F.lit(True)) & F.coalesce(newton < F.col("_high"), F.lit(True))
-        inside = inside & (F.abs(newton - F.col("_lambda")) <= 4 * (1 + F.abs("_lambda")))
-        middle = F.coalesce(
-            (F.col("_low") + F.col("_high")) / 2,
-            F.col("_low") + 1 + 2 * F.abs("_low"),
-            F.col("_high") - 1 - 2 * F.abs("_high"),
-        )
-        step = F.when(F.col("_done"), F.col("_lambda")).when(inside, newton).otherwise(middle)
-        state = settle(s.withColumn("_lambda", step).drop("_got", "_slope"))
-        if not state.filter(~F.col("_done")).limit(1).count():
-            return state.drop("_low", "_high", "_done")
-        state = state.drop("_done")
+        tilt = np.exp(np.minimum(at * x, 700.0))
+        off = (words * np.minimum(tilt, most_copies)).sum() - target
+        if abs(off) <= tolerance * max(target, 1.0) or high - low <= 1e-13 * (1 + abs(at)):
+            return np.minimum(tilt, most_copies)
+        low, high = (at, high) if off < 0 else (low, at)
+        slope = (words * x * tilt)[tilt < most_copies].sum()
+        step = at - off / slope if slope > 0 else np.inf
+        if not (low < step < high) or abs(step - at) > 4 * (1 + abs(at)):
+            step = (low + high) / 2 if np.isfinite(low + high) else at + (1 + 2 * abs(at)) * (1 if off < 0 else -1)
+        at = step
 
 
 PLAN = "_none boolean, _name string, _size long, _n long, words long, target double, _rate double, _lots long, _extra long"
 
 
-def _whole_copies(cells: pd.DataFrame) -> pd.DataFrame:
-    """Adds ``_extra``, the documents of each size that get one copy above the rate's floor.
+def _whole_copies(cells: pd.DataFrame, most_copies: int) -> pd.DataFrame:
+    """Adds the rate of each size, and ``_extra``, the documents of each size that get one copy above the rate's floor.
 
     Long documents come first, and what rounding leaves of the words wanted is
     carried to the next size. The rows are the distinct sizes of one source,
     not its documents.
     """
     cells = cells.sort_values("_size", ascending=False)
+    size, n = (cells[c].to_numpy(np.float64) for c in ("_size", "_n"))
+    rate = solve(size, n, float(cells["target"].iloc[0]), most_copies)
+    # Rates within rounding of a whole number are that number.
+    cells = cells.assign(_rate=np.where(np.abs(rate - np.round(rate)) < 1e-9, np.round(rate), rate))
     owed, extra = 0.0, []
     for size, n, rate in zip(cells["_size"].tolist(), cells["_n"].tolist(), cells["_rate"].tolist()):
         part = rate - math.floor(rate)
@@ -161,26 +147,15 @@ def mix(
         )
     )
     sources = cells.groupBy("_none", "_name").agg(
-        F.sum(F.col("_size") * F.col("_n")).alias("words"), F.sum("_n").alias("_docs")
+        F.sum(F.col("_size") * F.col("_n")).alias("words")
     )
     goals = targets(sources.select("_none", "_name", "words"), weights, share, most_copies)
-    goals = goals.join(sources.select("_none", "_name", "_docs"), ["_none", "_name"])
-    # A source whose target is its cap is taken whole; one without words not at all.
-    free = (F.col("words") > 0) & (F.col("target") < F.col("words") * most_copies * (1 - 1e-12))
-    solved = solve(cells.filter("_size > 0"), goals.filter(free), most_copies)
-    goals = goals.join(solved.select("_none", "_name", "_lambda"), ["_none", "_name"], "left")
-    rate = F.when(F.col("_lambda").isNull(), F.lit(float(most_copies))).otherwise(
-        F.least(F.lit(float(most_copies)), F.exp(F.col("_lambda") * F.col("_size") * F.col("_docs") / F.col("words")))
-    )
-    # Rates within rounding of a whole number are that number.
-    rate = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
     lots = F.ceil(F.col("_n") / RANKED_TOGETHER).cast("long")
     plan = settle(
         cells.join(goals, ["_none", "_name"])
-        .withColumns({"_rate": rate, "_lots": lots})
-        .select("_none", "_name", "_size", "_n", "words", "target", "_rate", "_lots")
+        .select("_none", "_name", "_size", "_n", "words", "target", F.lit(0.0).alias("_rate"), lots.alias("_lots"))
         .groupBy("_none", "_name")
-        .applyInPandas(_whole_copies, PLAN)
+        .applyInPandas(lambda g: _whole_copies(g, most_copies), PLAN)
     )
     lot_no = F.pmod(F.xxhash64(F.lit("lot"), F.col(id_col)), F.col("_lots"))
     here = rows.join(
