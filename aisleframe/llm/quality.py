@@ -14,6 +14,9 @@ unless they bear the name of a result column, which then wins.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,24 +25,38 @@ from aisleframe.llm.common import fresh, words_of
 SYMBOLS = r"[#*$%&|<>]"
 #: A sentence ends with one of these, maybe behind a closing quote or bracket.
 SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*(\s|$)"
-#: Words that end in a row of marks or carry symbols.
-NOISY_WORD = r"[^\s]*([!?]{2,}|[#*$%&<>]{1,})(\s|$)"
+#: The end of a word that ends in a row of marks or in a symbol; one match a word.
+NOISY_WORD = r"([!?]{2}|[#*$%&<>])(\s|$)"
 NAVIGATION_MARK = r"[|»›•]"
 BOILERPLATE = (
     r"(?i)(\bcopyright\b|all rights reserved|\blicen[sc]ed under\b|\breleased under\b|\bcookies?\b|privacy policy"
     r"|terms of (use|service)|\bsubscribe\b|\b(sign|log) (in|up)\b|click here|\bjavascript\b|lorem ipsum|^\s*share this\b)"
 )
+#: Every boilerplate match has one of these in lower case: a quick test before the pattern.
+BOILERPLATE_STEMS = [
+    "copyright", "all rights reserved", "licen", "released under", "cookie", "privacy policy", "terms of",
+    "subscribe", "sign ", "log ", "click here", "javascript", "lorem ipsum", "share this",
+]
+HAS_WORD = r"[^\x20\x09-\x0D]"
 RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
 
 
-def _line_fails(line: Column, n_words: Column) -> Column:
+def _boilerplate(line: Column) -> Column:
+    # An array of one binds the lower-cased line, so it is made once and not per stem.
+    stems = F.exists(F.array(F.lower(line)), lambda low: reduce(or_, [low.contains(x) for x in BOILERPLATE_STEMS]))
+    return stems & line.rlike(BOILERPLATE)
+
+
+def _line_fails(line: Column) -> Column:
+    """Whether a line with a word fails. Words are counted only where marks make their number matter."""
     noisy = F.regexp_count(line, F.lit(NOISY_WORD))
     marks = F.regexp_count(line, F.lit(NAVIGATION_MARK))
+    n_words = F.size(words_of(line))
     return (
         ~line.rlike(SENTENCE_END)
-        | (noisy * 10 > n_words * 3)
-        | ((marks >= 3) & (marks * 5 >= n_words))
-        | line.rlike(BOILERPLATE)
+        | F.exists(F.array(noisy), lambda k: (k > 0) & (k * 10 > n_words * 3))
+        | F.exists(F.array(marks), lambda k: (k >= 3) & (k * 5 >= n_words))
+        | _boilerplate(line)
     )
 
 
@@ -94,23 +111,16 @@ def quality(
         F.lit(0),
         lambda a, x: a + x,
     )
-    out = out.withColumn(
-        lines,
-        F.transform(F.split(body, "\n"), lambda x: F.struct(x.alias("line"), F.size(words_of(x)).alias("n"))),
-    )
-    filled = F.transform(F.filter(lines, lambda x: x["n"] > 0), lambda x: x["line"])
+    out = out.withColumn(full, F.filter(F.split(body, "\n"), lambda x: x.rlike(HAS_WORD)))
+    out = out.withColumn(lines, F.array_distinct(full))
     out = (
         out.withColumn("word_chars", F.length(F.array_join(w, "")).cast("long"))
         .withColumn("n_symbols", F.regexp_count(body, F.lit(SYMBOLS)).cast("long"))
-        .withColumn(full, filled)
-        .withColumn("n_dup_lines", (F.size(full) - F.size(F.array_distinct(full))).cast("long"))
+        .withColumn("n_dup_lines", (F.size(full) - F.size(lines)).cast("long"))
         .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     )
-    # A struct of a line never repeats after array_distinct; its first place stays.
-    good = F.filter(
-        F.array_distinct(lines), lambda x: (x["n"] > 0) & ~_line_fails(x["line"], x["n"])
-    )
-    out = out.withColumn(sound, F.transform(good, lambda x: x["line"]))
+    # Of equal lines array_distinct leaves the first in its place.
+    out = out.withColumn(sound, F.filter(lines, lambda x: ~_line_fails(x)))
     total = F.length(F.array_join(full, ""))
     left = F.length(F.array_join(sound, ""))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_pct)
