@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisleframe.llm.common import fresh, settle, words_of
+from aisleframe.llm.common import fresh, settle, stored, words_of
 
 #: Documents of one source and size that are ranked in one window.
 RANKED_TOGETHER = 2_000
@@ -151,11 +151,13 @@ def mix(
     )
     goals = targets(sources.select("_none", "_name", "words"), weights, share, most_copies)
     lots = F.ceil(F.col("_n") / RANKED_TOGETHER).cast("long")
-    plan = settle(
+    # Written, so that Spark knows its size: a join by a hot size must not decide where its documents are counted.
+    plan = stored(
         cells.join(goals, ["_none", "_name"])
         .select("_none", "_name", "_size", "_n", "words", "target", F.lit(0.0).alias("_rate"), lots.alias("_lots"))
         .groupBy("_none", "_name")
-        .applyInPandas(lambda g: _whole_copies(g, most_copies), PLAN)
+        .applyInPandas(lambda g: _whole_copies(g, most_copies), PLAN),
+        "mix",
     )
     lot_no = F.pmod(F.xxhash64(F.lit("lot"), F.col(id_col)), F.col("_lots"))
     here = rows.join(
