@@ -106,10 +106,10 @@ def cross_entropy_difference(
     """(id, n_tokens, target_loss, background_loss, score); ``targets`` has the ids of the target documents."""
     known = vocabulary(docs, text, symbols)
     size = len(known) + 1
+    # The target list has no proven bound, so it is dealt out by id at every size instead of broadcast.
+    wanted = targets.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
     marked = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(
-        targets.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct().withColumn("is_target", F.lit(True)),
-        "id",
-        "left",
+        wanted.withColumn("is_target", F.lit(True)).hint("shuffle_hash"), "id", "left"
     )
     counts = np.zeros((2, size**order))
     for r in count_cells(marked.select("text", F.coalesce("is_target", F.lit(False))), known, order).toLocalIterator(True):
