@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from aisleframe.functions.quantiles import exact_quantiles
 from aisleframe.functions.sampling import draw_order, first_k_per_group, sample_rows
 from aisleframe.operators.encoding import complete_cases
+from aisleframe.session import settle
 
 FEATURES = ["prices", "price_diff_1d", "price_rol_std_7d", "price_vs_market_avg"]
 KEYS = ["supermarket", "product_name", "date"]
@@ -131,7 +132,8 @@ def detect_anomalies(
     if missing:
         raise ValueError(f"feature table lacks {missing}; run the feature stage first")
     used = rows.na.fill(0.0, subset=FEATURES) if fill_missing else rows
-    scored = isolation_scores(used, n_trees=n_trees, tree_rows=tree_rows, seed=seed).select(*KEYS, "score")
+    # Settled, as the cut and the flags below each read the scores.
+    scored = settle(isolation_scores(used, n_trees=n_trees, tree_rows=tree_rows, seed=seed).select(*KEYS, "score"))
     cut = exact_quantiles(scored, [], "score", {"cut": 1 - contamination}).scalar()
     flagged = scored.filter(F.col("score") > cut).select(*KEYS, F.lit(True).alias("_hit"))
     return rows.join(flagged, KEYS, "left").withColumn("is_anomaly", F.coalesce("_hit", F.lit(False))).drop("_hit")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 # Never model inputs (target, keys, and the same row's unit price).
 NON_FEATURES = ["prices", "date", "product_name", "canonical_name", "normalised_name", "prices_unit"]
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")
-MAX_LEVELS = 2000
 
 
 def feature_columns(df: DataFrame, exclude: list[str] = NON_FEATURES) -> list[str]:
@@ -38,9 +37,19 @@ class FeatureSpec:
 
     @property
     def dummies(self) -> dict[str, tuple[str, str]]:
-        return {
-            f"{c}_{level}".replace(".", "_"): (c, level) for c, known in self.levels.items() for level in known[1:]
-        }
+        """Input name to (column, level); names that would be equal, in any case, get a number."""
+        out: dict[str, tuple[str, str]] = {}
+        taken = {c.lower() for c in self.numeric}
+        for c, known in self.levels.items():
+            for level in known[1:]:
+                base = name = f"{c}_{level}".replace(".", "_")
+                n = 1
+                while name.lower() in taken:
+                    n += 1
+                    name = f"{base}__{n}"
+                taken.add(name.lower())
+                out[name] = (c, level)
+        return out
 
     @property
     def names(self) -> list[str]:
@@ -73,8 +82,8 @@ class FeatureSpec:
 def fit_spec(train: DataFrame, exclude: list[str] = NON_FEATURES) -> FeatureSpec:
     """Read the category levels of the training rows in one pass.
 
-    The level list must be small to be a set of model inputs; a column with
-    more than MAX_LEVELS values is refused rather than gathered.
+    Each level becomes a column of the encoded table, so their list reaches
+    the driver with the plan; exclude columns that identify rows.
     """
     categories = category_columns(train, exclude)
     levels: dict[str, list[str]] = {c: [] for c in categories}
@@ -85,11 +94,8 @@ def fit_spec(train: DataFrame, exclude: list[str] = NON_FEATURES) -> FeatureSpec
             .select("p.c", "p.v")
             .filter(F.col("v").isNotNull())
             .distinct()
-            .limit(MAX_LEVELS + 1)
             .collect()
         )
-        if len(seen) > MAX_LEVELS:
-            raise ValueError(f"more than {MAX_LEVELS} category levels in {categories}; exclude the wide column")
         for r in seen:
             levels[r["c"]].append(r["v"])
     return FeatureSpec(feature_columns(train, exclude), {c: sorted(v) for c, v in levels.items()})

@@ -101,15 +101,15 @@ def price_leadership(
     max_lag: int = 7,
     min_correlation: float = 0.15,
     min_stores: int | None = 3,
-    sample_size: int | None = 1000,
+    sample_size: int | None = None,
     products_per_pair: int | None = None,
     drop_zero: bool = True,
     seed: int = 42,
 ) -> DataFrame:
     """Median best lag per ordered retailer pair.
 
-    ``sample_size`` products are drawn from those sold by ``min_stores``
-    retailers. The variant with ``min_stores=None``, ``products_per_pair=100``,
+    All products sold by ``min_stores`` retailers take part, or, when it is
+    given, a draw of ``sample_size`` of them. The variant with ``min_stores=None``, ``products_per_pair=100``,
     ``min_correlation=0.2`` and ``drop_zero=False`` skips the common-product rule.
     """
     chosen = rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aisleframe.functions.quantiles import exact_quantiles
@@ -45,8 +45,9 @@ def tukey_fences(overview: DataFrame, axis_step: float = 5.0) -> DataFrame:
     """Upper whisker, the largest whisker rounded up to the axis step, and who exceeds it."""
     fence = F.col("price_p75") + F.lit(1.5) * (F.col("price_p75") - F.col("price_p25"))
     whiskers = overview.withColumn("upper_fence", F.least(fence, F.col("max_price")))
-    cap = whiskers.agg((F.ceil(F.max("upper_fence") / axis_step) * axis_step).cast("double").alias("c"))
-    return whiskers.withColumn("axis_cap", cap.scalar()).withColumns(
+    # One row per retailer: a window over all of them is tiny, and the overview is made once.
+    widest = F.max("upper_fence").over(Window.partitionBy(F.lit(0)))
+    return whiskers.withColumn("axis_cap", (F.ceil(widest / axis_step) * axis_step).cast("double")).withColumns(
         {
             "beyond_cap": F.col("max_price") > F.col("axis_cap"),
             "median_share_of_axis": F.least(F.lit(1.0), F.col("price_median") / F.col("axis_cap")),
@@ -183,8 +184,8 @@ def basket_ranking(coverage: DataFrame) -> DataFrame:
 
 
 def price_grid(rows: DataFrame, stores: list[str], price: str = "price") -> DataFrame:
-    """Products by retailers; an empty cell is null."""
-    return rows.groupBy("canonical_name").pivot("supermarket", stores).agg(F.first(price, ignorenulls=True))
+    """Products by retailers; several prices of a cell are averaged, an empty cell is null."""
+    return rows.groupBy("canonical_name").pivot("supermarket", stores).agg(F.avg(price))
 
 
 def product_stores(rows: DataFrame, products: DataFrame) -> DataFrame:

@@ -323,7 +323,8 @@ def headline_metrics(spark, sf):
   UNION SELECT DISTINCT 'category_' || category FROM panel
   UNION SELECT DISTINCT 'brand_' || replace(brand, '#', '_') FROM panel)
 SELECT feature, CASE WHEN feature LIKE 'supermarket%' THEN 'Retailer: ' || substr(feature, 13)
-                     WHEN feature LIKE 'category%' THEN 'Category: ' || substr(feature, 10)
+                     WHEN feature LIKE 'category%'
+                       THEN 'Category: ' || upper(substr(feature, 10, 1)) || replace(substr(feature, 11), '_', ' ')
                      ELSE 'Brand ' || replace(substr(feature, 7), '_', ' ') END AS label,
        CASE WHEN feature LIKE 'supermarket%' THEN 'retailer' WHEN feature LIKE 'category%' THEN 'category'
             ELSE feature END AS family,

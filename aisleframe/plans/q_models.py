@@ -89,7 +89,7 @@ def contributions_of(spark: SparkSession, sf: str) -> DataFrame:
     features = model_inputs(spark, sf)
     model, _ = trained(features)
     keys = ["supermarket", "product_name", "date"]
-    rows = complete_cases(model.spec.encode(features, keys), model.spec.names)
+    rows = complete_cases(model.spec.encode(features, keys), model.spec.numeric)
     return explain.contributions(model, rows, keys, n_samples=500, n_orders=8)
 
 

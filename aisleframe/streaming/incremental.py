@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import logging
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 from aisleframe.operators.clean import clean
+from aisleframe.sources.raw import read_with_schema
+
+log = logging.getLogger(__name__)
 
 RAW_COLUMNS = ["supermarket", "prices_(£)", "prices_unit_(£)", "unit", "names", "date", "category", "own_brand"]
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def ingest_new_files(
@@ -21,19 +27,36 @@ def ingest_new_files(
 ) -> int:
     """Clean the new files into the output table and return how many rows were read.
 
-    The cleaning step is stateless, so the file-source stream needs no
-    watermark; the checkpoint remembers the files, which makes a rerun after a
-    failure exactly-once.
+    The stream carries file names only (contents are not read for them); each
+    batch then reads its files by their own headers. A batch is one partition
+    ``ingest_batch`` of the table and overwrites it when it runs again after a
+    failure, so every file counts exactly once.
     """
-    reader = spark.readStream.schema(schema).option("header", True)
+    rows_read: list[int] = []
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        # The names of one batch's files; max_files_per_batch bounds them.
+        files = sorted(r["path"] for r in batch.collect())
+        raw = read_with_schema(batch.sparkSession, files, schema)
+        if raw is None:
+            return
+        counts = Observation()
+        clean(raw, counts).write.mode("overwrite").parquet(f"{output}/ingest_batch={batch_id}")
+        seen = counts.get
+        rows_read.append(seen["rows_in"])
+        if seen["no_price"] or seen["no_name"]:
+            log.warning("batch %d: %d rows without a price and %d without a name dropped", batch_id, seen["no_price"], seen["no_name"])
+
+    reader = spark.readStream.schema(FILE_SCHEMA).format("binaryFile")
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
     stream = (
-        clean(reader.csv(raw_dir))
-        .writeStream.format("parquet")
+        reader.load(raw_dir)
+        .select("path")
+        .writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(output)
+        .start()
     )
     stream.awaitTermination()
-    return sum(p["numInputRows"] for p in stream.recentProgress)
+    return sum(rows_read)

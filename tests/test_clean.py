@@ -69,6 +69,18 @@ def test_typed_glob_and_rows_per_file(spark, dirty, tmp_path):
     assert sorted(r.n_rows for r in raw.rows_per_file(df).collect()) == [1, 2]
 
 
+def test_typed_columns_follow_each_files_header(spark, tmp_path):
+    (tmp_path / "p1.csv").write_text("prices_(£),extra,supermarket,names\n1.5,x,Tesco,Tea\n", encoding="utf-8")
+    write(tmp_path / "p2.csv", "ASDA,2,2,kg,Jam,20240101,food,False\n")
+    (tmp_path / "p3.csv").write_text("", encoding="utf-8")
+    rows = raw.read_typed_csvs(spark, str(tmp_path / "p*.csv")).collect()
+    assert {(r.supermarket, r["prices_(£)"], r.names, r.unit) for r in rows} == {
+        ("Tesco", 1.5, "Tea", None), ("ASDA", 2.0, "Jam", "kg"),
+    }
+    listed = [str(tmp_path / f"p{i}.csv") for i in (1, 2, 3)]
+    assert raw.read_raw_csvs(spark, listed).filter("names = 'Jam' AND extra IS NULL").count() == 1
+
+
 def test_inferred_types(spark, dirty):
     assert dict(raw.read_raw_csvs(spark, [dirty], infer_types=True).dtypes)["date"] == "int"
 

@@ -84,18 +84,19 @@ def test_chain_joins_and_order_does_not_matter(spark):
     def at(deg):
         return [np.cos(np.radians(deg)), np.sin(np.radians(deg))]
 
-    pairs = [("zzz", at(0)), ("mmm", at(20)), ("aaa_product", at(40)), ("other", at(90))]
-    expect = {"zzz": "aaa_product", "mmm": "aaa_product", "aaa_product": "aaa_product", "other": "other"}
-    assert clusters(spark, pairs, 0.85) == expect
-    assert clusters(spark, pairs[::-1], 0.85) == expect
-
-
-def test_hub_cannot_swallow_its_petals(spark):
-    n = 20
-    hub = [("hub", [1.0] + [0.0] * n)]
-    petals = [(f"petal {i:02d}", [0.95] + [np.sqrt(1 - 0.95**2) if j == i else 0.0 for j in range(n)]) for i in range(n)]
-    out = clusters(spark, hub + petals, 0.93)
-    assert sum(c == out["hub"] for c in out.values()) <= 8
+    angles = {"walnut": 5, "hazelnut": 30, "chestnut": 52, "pecan": 75, "kidney bean": 165}
+    pairs = [(name, at(deg)) for name, deg in angles.items()]
+    expect = {name: "kidney bean" if name == "kidney bean" else "chestnut" for name in angles}
+    assert clusters(spark, pairs, 0.9) == expect
+    assert clusters(spark, pairs[::-1], 0.9) == expect
+
+
+def test_a_generic_name_joins_its_mutual_neighbours_only(spark):
+    """Each flavour's one neighbour is the plain name, which itself has room for k of them."""
+    side = np.eye(13) * np.sqrt(1 - 0.9**2)
+    flavours = [(f"yoghurt flavour {i:02d}", [0.9, *row]) for i, row in enumerate(side)]
+    out = clusters(spark, [("yoghurt", [1.0] + [0.0] * 13), *flavours], 0.88, k=4)
+    assert sum(c == out["yoghurt"] for c in out.values()) == 5
 
 
 def test_empty_input(spark):

@@ -15,21 +15,28 @@ from conftest import day
 
 HEADER = "supermarket,prices_(£),prices_unit_(£),unit,names,date,category,own_brand\n"
 LISTINGS = [
-    ("ASDA", "Value Bananas 6 Pack", "fresh_food", "TRUE"),
-    ("Tesco", "6 Bananas Value Pack", "fresh_food", "True"),
-    ("ASDA", "Organic Avocado Twin Pack", "fresh_food", "FALSE"),
-    ("Morrisons", "Organic Avocado Twin Pack", "fresh_food", "False"),
-    ("Sains", "Finest Chocolate Digestives", "food_cupboard", "False"),
+    ("Tesco", "Oat Crackers Sea Salt", "bakery", "True"),
+    ("Aldi", "Sea Salt Oat Crackers", "bakery", "TRUE"),
+    ("Tesco", "Green Olives Jar", "food_cupboard", "False"),
+    ("Aldi", "Green Olives Jar", "food_cupboard", "FALSE"),
+    ("Morrisons", "Green Olives Jar", "food_cupboard", "False"),
+    ("ASDA", "Peach Iced Tea", "drinks", "False"),
+]
+#: No name, no price, and a price of zero: the first two go.
+ODD_LINES = [
+    "Tesco,2.5,2.5,l,,20240103,drinks,False",
+    "Tesco,,2.5,l,Lost Label,20240103,drinks,False",
+    "ASDA,0.0,0.0,unit,Paper Straw,20240104,home,False",
 ]
 
 
 def raw_lines():
     lines = [
-        f"{s},{1 + i * 0.5 + (d % 4) * 0.1:.2f},1.0,kg,{n},{day(d):%Y%m%d},{c},{b}"
+        f"{s},{2 + 0.3 * i + (d % 5) * 0.05:.2f},2.0,unit,{n},{day(d):%Y%m%d},{c},{b}"
         for i, (s, n, c, b) in enumerate(LISTINGS)
-        for d in range(25)
+        for d in range(30)
     ]
-    return [*lines, "Aldi,1.0,1.0,kg,,20240105,fresh_food,False", "Aldi,0.0,0.0,kg,Free Sample Item,20240105,fresh_food,False"]
+    return [*lines, *ODD_LINES]
 
 
 def make_toy_encoder():
@@ -37,14 +44,10 @@ def make_toy_encoder():
 
     def encoder():
         def encode(texts):
-            out = []
-            for t in texts:
-                if "bananas" in t:
-                    v = [1, 0, 0, 0] if "value bananas" in t else [0.99, 0.1411, 0, 0]
-                else:
-                    v = [0, 1, 0, 0] if "avocado" in t else [0, 0, 1, 0] if "digestives" in t else [0, 0, 0, 1]
-                out.append(v)
-            return np.array(out, dtype=float)
+            """One axis per product word; the swapped cracker name leans 11 degrees to a fifth axis."""
+            words = ["crackers", "olives", "tea", "straw"]
+            out = np.array([[float(w in t) for w in words] + [0.2 * ("salt oat" in t)] for t in texts])
+            return out / np.linalg.norm(out, axis=1, keepdims=True)
 
         return encode
 
@@ -66,43 +69,42 @@ def test_whole_flow(spark, layout, tmp_path):
     with pytest.raises(MissingTable):
         stages.run_matching(spark, layout)
     first = stages.run_ingestion(spark, layout)
-    assert (first.rows_in, first.rows_out) == (127, 126)
+    assert (first.rows_in, first.rows_out) == (183, 181)
     clean = spark.read.parquet(first.path)
     assert clean.filter("prices = 0").count() == 1
 
     assert not stages.run_matching(spark, layout, toy_encoder).skipped
     canonical = spark.read.parquet(layout.table("canonical"))
-    bananas = canonical.filter(F.col("product_name").contains("Bananas"))
-    assert bananas.count() == 50 and bananas.select("canonical_name").distinct().count() == 1
-    avocado = canonical.filter(F.col("product_name").contains("Avocado"))
-    assert avocado.select("canonical_name").distinct().count() == 1 and avocado.select("supermarket").distinct().count() == 2
-    assert canonical.filter("supermarket = 'Sains'").select("canonical_name").distinct().count() == 1
-    assert canonical.filter("own_brand").count() == 50
-
-    assert stages.run_features(spark, layout).rows_out == 126
+    named = canonical.groupBy("canonical_name").agg(F.count("*").alias("n"), F.count_distinct("supermarket").alias("stores"))
+    assert {(r.canonical_name, r.n, r.stores) for r in named.collect()} == {
+        ("oat crackers sea salt", 60, 2), ("green olives jar", 90, 3), ("peach iced tea", 30, 1), ("paper straw", 1, 1),
+    }
+    assert canonical.filter("own_brand").count() == 60
+
+    assert stages.run_features(spark, layout).rows_out == 181
     assert stages.run_marts(spark, layout)["dim_product"].rows_out == 4
     stages.run_market(spark, layout)
     stages.run_training(spark, layout, TreeParams(n_trees=3, depth=2, min_rows_per_leaf=2), n_boot=20)
     stages.run_contributions(spark, layout, n_samples=5, n_orders=2)
     stages.run_anomalies(spark, layout)
-    assert spark.read.parquet(layout.table("anomalies")).count() == 126
+    assert spark.read.parquet(layout.table("anomalies")).count() == 181
 
     # A second run has nothing to do; force does it again.
     assert stages.run_ingestion(spark, layout).skipped and stages.run_matching(spark, layout, toy_encoder).skipped
     assert not stages.run_ingestion(spark, layout, force=True).skipped
 
     baskets = tmp_path / "baskets.txt"
-    baskets.write_text("Fruit:\n- 6 bananas value pack\n- organic avocado twin pack\n", encoding="utf-8")
+    baskets.write_text("Snacks:\n- oat crackers sea salt\n- green olives jar\n", encoding="utf-8")
     docs = stages.run_web_artifacts(spark, layout, str(baskets))
     page = spark.read.json(docs["basket_analysis"]).first()
-    assert page.basket == "Fruit" and page.total_items == 2 and len(page["rows"]) == 3
+    assert page.basket == "Snacks" and page.total_items == 2 and len(page["rows"]) == 3
     home = spark.read.json(docs["home_metrics"]).first()
-    assert home.total_records == 126 and home.canonical_products == 4
-    assert spark.read.parquet(layout.table("web/predictor_context")).count() == 6
+    assert home.total_records == 181 and home.canonical_products == 4
+    assert spark.read.parquet(layout.table("web/predictor_context")).count() == 7
 
     reports = records.read_run_reports(spark, layout.reports)
     assert {"ingestion", "product_matching", "feature_engineering"} <= {r.stage for r in reports.collect()}
-    assert reports.filter("stage = 'ingestion'").first().row_delta == -1
+    assert reports.filter("stage = 'ingestion'").first().row_delta == -2
 
 
 def test_a_broken_contract_keeps_the_old_table(spark, tmp_path):
@@ -125,7 +127,7 @@ def test_manifest_and_changes(spark, tmp_path):
     tables.write_table(df, table)
     records.write_manifest(df, table, [str(source)], "demo", 1)
     m = records.load_manifest(spark, table)
-    assert m["row_count"] == 1 and m["columns"] == ["k", "v"] and len(m["schema_hash"]) == 16
+    assert m["rows"] == 1 and [f["name"] for f in m["schema"]["fields"]] == ["k", "v"] and m["inputs"] == ["src.csv"]
     assert records.schema_hash(df.select("v", "k")) == m["schema_hash"]
     assert not records.sources_changed(spark, [str(source)], table)
     assert records.sources_changed(spark, [str(source), str(tmp_path / "more.csv")], table)
@@ -161,12 +163,36 @@ def test_incremental_folder(spark, tmp_path):
     args = (spark, str(raw), str(tmp_path / "out"), str(tmp_path / "ckpt"))
     (raw / "1.csv").write_text(HEADER + "\n".join(raw_lines()[:10]) + "\n", encoding="utf-8")
     assert ingest_new_files(*args) == 10
-    (raw / "2.csv").write_text(HEADER + "\n".join(raw_lines()[-2:]) + "\n", encoding="utf-8")
-    assert ingest_new_files(*args) == 2
+    (raw / "2.csv").write_text(HEADER + "\n".join(ODD_LINES) + "\n", encoding="utf-8")
+    assert ingest_new_files(*args) == 3
     assert ingest_new_files(*args) == 0
     assert spark.read.parquet(str(tmp_path / "out")).count() == 11
 
 
+def test_incremental_files_are_read_by_their_own_header(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "1.csv").write_text("names,prices_(£),date,supermarket\nTea,1.5,20240101,Tesco\n", encoding="utf-8")
+    (raw / "2.csv").write_text(HEADER + "Aldi,2.5,2.5,kg,Jam,20240102,food,True\n", encoding="utf-8")
+    (raw / "3.csv").write_text("", encoding="utf-8")
+    assert ingest_new_files(spark, str(raw), str(tmp_path / "out"), str(tmp_path / "ckpt"), max_files_per_batch=1) == 2
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.supermarket, r.product_name, r.prices, r.category) for r in rows} == {
+        ("Tesco", "Tea", 1.5, None), ("Aldi", "Jam", 2.5, "food"),
+    }
+
+
+def test_promotion_that_fails_keeps_the_old_table(spark, tmp_path):
+    final = str(tmp_path / "t")
+    tables.write_table(spark.range(3), final)
+    with pytest.raises(Exception):
+        tables.promote(spark, str(tmp_path / "never_written"), final)
+    assert spark.read.parquet(final).count() == 3
+    tables.write_table(spark.range(5), final + ".staged")
+    tables.promote(spark, final + ".staged", final)
+    assert spark.read.parquet(final).count() == 5 and not (tmp_path / "t.previous").exists()
+
+
 def test_samples_do_not_depend_on_partitioning(spark):
     df = spark.range(1000).withColumn("g", F.concat(F.lit("g"), F.col("id") % 37))
     a = {r.id for r in sample_rows(df.repartition(7), 50, ["id"]).collect()}
