@@ -1,91 +1,141 @@
 """Cross-entropy difference of documents between a target and a background model.
 
 Both are character n-gram models of the same order over one shared vocabulary:
-the characters that are most frequent in the corpus, all others being one
-unknown symbol. Both are smoothed alike, and the background's counts are scaled
-to the target's total, so that only their proportions differ. A document's
-score is its mean loss per token under the target model minus that under the
-background model, in bits; below zero it looks more like the target.
-
-The counts are sums over all documents, formed per batch and added up in Spark.
-Their table has at most (symbols + 1) ** order cells, the proven bound of what
-is collected and broadcast.
+every character of the corpus, whatever its script, and one symbol for
+characters never seen. Both are smoothed alike, and the background's counts are
+scaled to the target's total, so that only their proportions differ. A
+document's score is its mean loss per token under the target model minus that
+under the background model, in bits; below zero it looks more like the target.
+
+Neither vocabulary nor n-grams have a fixed number, so no model is collected or
+broadcast. Documents are packed into chunks of bounded length, each with its
+distinct n-grams. Those are summed over all chunks to a stored table, the
+table's losses go back to the chunks by a shuffled join, and each chunk scores
+its documents. A frequent n-gram has one row a chunk, so no key is hot.
 
 Nulls: a null text is empty; an empty text has no token, null losses and a null
 score. A null id is carried and is never a target. Repeated rows count as often
-as they are there. With no target document every cell falls back on the uniform
-model; an empty table gives an empty result.
+as they are there. With no target document every n-gram falls back on the
+uniform model; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aisleframe.llm.common import stored
 
-def codes_of(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        char, n = np.unique(np.concatenate([np.empty(0, np.uint32), *(codes_of(t) for t in batch.column(0).to_pylist())]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(char.astype(np.int64)), pa.array(n)], names=["char", "n"])
-
-
-def vocabulary(docs: DataFrame, text: str, symbols: int) -> np.ndarray:
-    """The most frequent characters of all texts, ascending; ties go to the smaller code point."""
-    counts = docs.select(text).mapInArrow(_characters, "char long, n long").groupBy("char").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), "char").limit(symbols).collect()
-    return np.array(sorted(r["char"] for r in top), np.uint32)
-
+#: Characters after which a chunk of documents is closed.
+CHUNK = 1_000_000
 
-def symbol_ids(codes: np.ndarray, known: np.ndarray, order: int) -> np.ndarray:
-    """Ids from 1; 0 is the unknown symbol, which also pads the start."""
-    if not len(known):
-        return np.zeros(len(codes) + order - 1, np.int64)
-    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-    ids = np.where(known[at] == codes, at + 1, 0)
-    return np.concatenate((np.zeros(order - 1, np.int64), ids))
 
+def distinct_grams(texts: list[str], order: int) -> tuple[list[str], np.ndarray]:
+    """The distinct n-grams of lower-case texts, and the place in that list of every token's n-gram.
 
-def cells_of(text: str | None, known: np.ndarray, order: int) -> np.ndarray:
-    """The table cell of every token with the order - 1 symbols before it."""
-    codes = codes_of(text)
-    ids, size, n = symbol_ids(codes, known, order), len(known) + 1, len(codes)
-    cell = np.zeros(n, np.int64)
-    for k in range(order):
-        cell = cell * size + ids[k : k + n]
-    return cell
+    A text's first tokens have n-grams shorter than ``order``: their start is padding.
+    """
+    flat = "".join(texts)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    known, ids = np.unique(np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    at, size, span = np.arange(len(flat)), len(known) + 1, 1
+    cell = np.zeros(len(flat), np.int64)
+    for back in range(order - 1, -1, -1):
+        if span > 2**62 // size:
+            seen, cell = np.unique(cell, return_inverse=True)
+            span = len(seen)
+        cell = cell * size + np.where(at - back >= begin, ids[np.maximum(at - back, 0)] + 1, 0)
+        span *= size
+    _, first, place = np.unique(cell, return_index=True, return_inverse=True)
+    return [flat[max(a - order + 1, b) : a + 1] for a, b in zip(first.tolist(), begin[first].tolist())], place
 
 
-def count_cells(docs: DataFrame, known: np.ndarray, order: int) -> DataFrame:
-    """(cell, target, background) of (text, is_target) over all documents."""
+def chunked(marked: DataFrame, kind: str, order: int) -> DataFrame:
+    """Chunks of (id, text, is_target): a row (chunk, place, gram, target, background) for every distinct
+    n-gram with its counts, and one row (chunk, ids, lengths, tokens) with the places of all tokens, packed."""
+    schema = f"chunk long, place long, gram string, target long, background long, ids array<{kind}>, lengths array<long>, tokens binary"
+    id_type = marked.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        own = to_arrow_type(id_type)
+        names = ["chunk", "place", "gram", "target", "background", "ids", "lengths", "tokens"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(own), pa.list_(pa.int64()), pa.binary()]
+        number = TaskContext.get().partitionId() << 32
+        ids, texts, flags, length = [], [], [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            grams, place = distinct_grams(texts, order)
+            lengths = [len(t) for t in texts]
+            target = np.bincount(place[np.repeat(np.array(flags, bool), lengths)], minlength=len(grams))
+            columns = [[number] * len(grams), range(len(grams)), grams, target, np.bincount(place, minlength=len(grams))]
+            for a in range(0, len(grams), 50_000):
+                rows = [pa.array(c[a : a + 50_000], t) for c, t in zip(columns, types)]
+                rows += [pa.nulls(len(rows[0]), t) for t in types[5:]]
+                yield pa.RecordBatch.from_arrays(rows, names=names)
+            tokens = zlib.compress(place.astype("<u2" if len(grams) <= 2**16 else "<u4").tobytes(), 1)
+            row = [[number], [len(grams)], [None], [None], [None], [ids], [lengths], [tokens]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types)], names=names)
+
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                cells = [cells_of(t, known, order) for t in part.column(0).to_pylist()]
-                own = [c for c, t in zip(cells, part.column(1).to_pylist()) if t]
-                cell, n = np.unique(np.concatenate([np.empty(0, np.int64), *cells]), return_counts=True)
-                mine, m = np.unique(np.concatenate([np.empty(0, np.int64), *own]), return_counts=True)
-                target = np.zeros(len(cell), np.int64)
-                target[np.searchsorted(cell, mine)] = m
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(target), pa.array(n.astype(np.int64))], names=["cell", "target", "background"]
-                )
-
-    sums = docs.mapInArrow(run, "cell long, target long, background long")
-    return sums.groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+            for i, t, flag in zip(*(c.to_pylist() for c in batch.columns)):
+                t = (t or "").lower()
+                if texts and length + len(t) > CHUNK:
+                    yield from close()
+                    ids, texts, flags, length, number = [], [], [], 0, number + 1
+                ids.append(i)
+                texts.append(t)
+                flags.append(flag)
+                length += len(t)
+        if texts:
+            yield from close()
+
+    return marked.mapInArrow(run, schema)
+
+
+def gram_losses(totals: DataFrame, order: int, prior: float) -> DataFrame:
+    """(gram, own, other): bits per token under both models for every n-gram of (gram, target, background)."""
+    top = totals.agg(
+        F.sum("target").alias("target"), F.sum("background").alias("background"), F.count_distinct(F.right("gram", F.lit(1))).alias("n")
+    ).first()
+    all_own, all_other = float(top["target"] or 0), float(top["background"] or 0)
+    scale = max(all_own, 1.0) / all_other if all_other else 1.0
+    level = totals.select("gram", F.col("target").cast("double").alias("own"), (F.col("background") * scale).alias("other"))
+    levels = [level]
+    for k in range(order - 1, 0, -1):
+        level = level.groupBy(F.right("gram", F.lit(k)).alias("gram")).agg(F.sum("own").alias("own"), F.sum("other").alias("other"))
+        levels.append(level)
+    uniform = 1.0 / (top["n"] + 1)
+    p = levels[-1].select(
+        "gram",
+        ((F.col("own") + prior * uniform) / (all_own + prior)).alias("own"),
+        ((F.col("other") + prior * uniform) / (all_other * scale + prior)).alias("other"),
+    )
+    for k, level in enumerate(reversed(levels[:-1]), 2):
+        level = level.withColumn("before", F.expr("substring(gram, 1, length(gram) - 1)"))
+        level = level.withColumn("after", F.right("gram", F.lit(k - 1)))
+        sums = level.groupBy("before").agg(F.sum("own").alias("own_all"), F.sum("other").alias("other_all"))
+        lower = p.select(F.col("gram").alias("after"), F.col("own").alias("own_p"), F.col("other").alias("other_p"))
+        p = level.join(sums.hint("merge"), "before").join(lower.hint("merge"), "after").select(
+            "gram",
+            *[((F.col(c) + prior * F.col(f"{c}_p")) / (F.col(f"{c}_all") + prior)).alias(c) for c in ("own", "other")],
+        )
+    return p.select("gram", *[(-F.log2(c)).alias(c) for c in ("own", "other")])
 
 
 def losses(counts: np.ndarray, size: int, order: int, prior: float) -> np.ndarray:
-    """Bits per token of every cell; each order is a prior of weight ``prior`` for the next."""
+    """Bits per token of every cell of a dense table; each order is a prior of weight ``prior`` for the next.
+
+    The same formula as ``gram_losses``, for a vocabulary small enough for an array.
+    """
     p = np.full((1,) * (order - 1) + (size,), 1.0 / size)
     table = counts.reshape((size,) * order)
     for k in range(1, order + 1):
@@ -100,41 +150,46 @@ def cross_entropy_difference(
     id_col: str = "doc_id",
     text: str = "text",
     order: int = 3,
-    symbols: int = 95,
     prior: float = 5.0,
 ) -> DataFrame:
     """(id, n_tokens, target_loss, background_loss, score); ``targets`` has the ids of the target documents."""
-    known = vocabulary(docs, text, symbols)
-    size = len(known) + 1
     # The target list has no proven bound, so it is dealt out by id at every size instead of broadcast.
     wanted = targets.select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
     marked = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(
         wanted.withColumn("is_target", F.lit(True)).hint("shuffle_hash"), "id", "left"
     )
-    counts = np.zeros((2, size**order))
-    for r in count_cells(marked.select("text", F.coalesce("is_target", F.lit(False))), known, order).toLocalIterator(True):
-        counts[:, r["cell"]] = r["target"], r["background"]
-    if counts[1].sum():
-        counts[1] *= max(counts[0].sum(), 1.0) / counts[1].sum()
-    tables = np.stack([losses(c, size, order, prior) for c in counts]).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((known, tables))
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tables = shared.value
-        for batch in batches:
-            n, mean = [], []
-            for t in batch.column(1):
-                cell = cells_of(t.as_py(), known, order)
-                n.append(len(cell))
-                mean.append(tables[:, cell].mean(axis=1, dtype=np.float64) if len(cell) else (None, None))
-            own, other = ([None if m[k] is None else float(m[k]) for m in mean] for k in (0, 1))
-            score = [None if a is None else a - b for a, b in zip(own, other)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(c, pa.float64()) for c in (own, other, score))],
-                names=[id_col, "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-    return docs.select(id_col, text).mapInArrow(
-        run, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double"
+    marked = marked.select("id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    # Stored, so that both models and the scores see the same chunks.
+    chunks = stored(chunked(marked, kind, order), "chunks")
+    asked = chunks.filter("gram IS NOT NULL")
+    totals = asked.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    table = gram_losses(stored(totals, "grams"), order, prior)
+    bits = asked.select("chunk", "place", "gram").join(table.hint("merge"), "gram").select("chunk", "place", "own", "other")
+    packed = chunks.filter("gram IS NULL").select(F.col("chunk").alias("own_chunk"), F.col("place").alias("n"), "ids", "lengths", "tokens")
+
+    def score(bits: pa.Table, packed: pa.Table) -> pa.Table:
+        at = bits.column("place").to_numpy()
+        loss = np.zeros((2, len(at)))
+        for k, c in enumerate(("own", "other")):
+            loss[k, at] = bits.column(c).to_numpy()
+        lengths = packed.column("lengths").combine_chunks().flatten()
+        n = lengths.to_numpy()
+        wide = "<u2" if packed.column("n")[0].as_py() <= 2**16 else "<u4"
+        token = np.frombuffer(zlib.decompress(packed.column("tokens")[0].as_py()), wide)
+        some = n > 0
+        begin = (np.cumsum(n) - n)[some]
+        mean = np.zeros((2, len(n)))
+        for k in range(2):
+            mean[k, some] = np.add.reduceat(loss[k][token], begin) / n[some] if some.any() else 0.0
+        own, other, apart = (pa.array(c, pa.float64(), mask=~some) for c in (mean[0], mean[1], mean[0] - mean[1]))
+        return pa.table(
+            [packed.column("ids").combine_chunks().flatten(), lengths, own, other, apart],
+            names=[id_col, "n_tokens", "target_loss", "background_loss", "score"],
+        )
+
+    return (
+        bits.groupBy("chunk")
+        .cogroup(packed.groupBy("own_chunk"))
+        .applyInArrow(score, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
     )

@@ -196,6 +196,37 @@ def test_lm_prefers_its_target(spark, none):
     assert lm_score.cross_entropy_difference(none, none.select("doc_id")).count() == 0
 
 
+def test_lm_tells_apart_texts_of_any_script(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK", 500)
+    # 150 frequent characters come first; the CJK texts differ in characters that are rare beside them.
+    latin = [(i, "".join(chr(0x4E00 + (7 * i + k) % 150) for k in range(600))) for i in range(20)]
+    cjk = [(100 + i, "日本語学" * 3) for i in range(6)] + [(200 + i, "山川草木" * 3) for i in range(6)]
+    texts = [*latin, *cjk, (300, ""), (None, "日本")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(df, df.filter("doc_id BETWEEN 100 AND 102").select("doc_id")).collect()}
+    assert len(got) == len(texts) and got[300].score is None
+    assert all(got[100 + i].score < 0 < got[200 + i].score for i in range(6))
+    # The dense formula over all characters gives the same figures.
+    known = {c: k + 1 for k, c in enumerate(sorted({c for _, t in texts for c in t.lower()}))}
+    counts = np.zeros((2, (len(known) + 1) ** 3), np.float32)
+
+    def cells(t):
+        ids = [0, 0, *(known[c] for c in t.lower())]
+        return [(a * (len(known) + 1) + b) * (len(known) + 1) + c for a, b, c in zip(ids, ids[1:], ids[2:])]
+
+    for i, t in texts:
+        np.add.at(counts[1], cells(t), 1)
+        if i in (100, 101, 102):
+            np.add.at(counts[0], cells(t), 1)
+    counts[1] *= counts[0].sum() / counts[1].sum()
+    own, other = (lm_score.losses(c, len(known) + 1, 3, 5.0) for c in counts)
+    for i, t in texts:
+        if t:
+            assert got[i].n_tokens == len(t) and np.allclose([got[i].target_loss, got[i].background_loss], [own[cells(t)].mean(), other[cells(t)].mean()], rtol=1e-4)
+    short = lm_score.distinct_grams(["abab", "ab"], 5)
+    assert sorted(short[0]) == ["a", "ab", "aba", "abab"] and len(short[1]) == 6
+
+
 def test_masks_meet_every_window():
     for bad in itertools.combinations(range(13), 2):
         assert any(
