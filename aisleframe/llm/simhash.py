@@ -34,6 +34,8 @@ from aisleframe.operators.similarity import connected_components
 #: Partition values with more fingerprints than this are linked through mid-points.
 PAIRED_AT_MOST = 32
 UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Bits of the parity that rules out candidates, and of the cells in which shingles are counted to order them.
+PARITY, SKETCH_BITS = 1024, 20
 #: Odd multipliers that spread one 64-bit hash over further words of a wide fingerprint.
 MIX_A, MIX_B = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -294,51 +296,150 @@ def components(
     )
 
 
-def _shingle_sets(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+def _set_rows(docs: DataFrame, key: str, text: str, words: int, schema: str, row) -> DataFrame:
+    """(id, what ``row`` makes of the text's shingle set), ``schema`` naming the columns after the id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = zip(*(c.split() for c in schema.split(", ")))
+        types = [pa.int64() if k == "long" else pa.list_(pa.int64()) for k in kinds]
+        for batch in batches:
+            rows = [row(np.unique(shingle_hashes(t.as_py(), words))) for t in batch.column(1)]
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
+
+    return docs.select(key, text).mapInArrow(run, f"id long, {schema}")
+
+
+def _set_name(shingles: np.ndarray) -> tuple[int, int]:
+    from xxhash import xxh64_intdigest
+
+    data = shingles.tobytes()
+    return tuple(int(v) for v in np.array([xxh64_intdigest(data, k) for k in (1, 2)], np.uint64).view(np.int64))
+
+
+def _parity(shingles: np.ndarray) -> list[int]:
+    """``PARITY`` bits, each the parity of the shingles that fall on it. Two sets differ in as many shingles at least as bits."""
+    hits = np.bincount((shingles & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(hits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def shingle_sketch(docs: DataFrame, text: str, words: int) -> np.ndarray:
+    """How many texts have a shingle in each of 2 ** SKETCH_BITS hash cells: it orders shingles, and no result depends on it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(2**SKETCH_BITS, np.int64)
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            for t in batch.column(0):
+                at = (np.unique(shingle_hashes(t.as_py(), words)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+                np.add.at(cells, at, 1)
+        blocks = cells.astype(np.int32).reshape(-1, 2048)
+        some = np.flatnonzero(blocks.any(axis=1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([b.tobytes() for b in blocks[some]], pa.binary())], names=["block", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b.as_py(), np.int32).astype(np.int64) for b in rows.column("counts"))
+        return pa.table([rows.column("block")[:1], pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["block", "counts"])
+
+    sums = docs.select(text).mapInArrow(run, "block long, counts binary").groupBy("block").applyInArrow(add, "block long, counts binary")
+    out = np.zeros((2**SKETCH_BITS // 2048, 2048), np.int32)
+    for r in sums.toLocalIterator():
+        out[r["block"]] = np.frombuffer(bytes(r["counts"]), np.int32)
+    return out.reshape(-1)
+
+
+def near_links(texts: DataFrame, similarity: float, words: int, sketch: np.ndarray) -> DataFrame:
+    """(id, component) of all texts (id, text) in the graph of the pairs whose shingle sets have
+    a Jaccard similarity of ``similarity`` or more, as far as they have a partner; ids are distinct.
+
+    Candidates are exact: in any common order of all shingles, two such sets
+    share one of their first ``n - ceil(similarity * n) + 1`` shingles. The
+    order is the rare ones first, by ``sketch``. Of the texts with such a value
+    the first ones lead; all others of another component are compared with
+    them, components are joined, and the next leaders, more each time, follow
+    until each value's texts are in one component or have all been compared.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(sketch)
 
-    return docs.select(key, text).mapInArrow(run, "id long, shingles array<long>")
+    def head(shingles: np.ndarray):
+        n = len(shingles)
+        order = np.lexsort((shingles, shared.value[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+        first = order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+        return n, _parity(shingles), shingles[first].view(np.int64).tolist()
+
+    prints = stored(
+        _set_rows(texts, "id", "text", words, "size long, parity array<long>, first array<long>", head).filter("size > 0"), "prints"
+    )
+    by_value = Window.partitionBy("value").orderBy("pos", "id")
+    index = prints.select("id", "size", F.posexplode("first").alias("pos", "value"))
+    index = index.withColumn("rank", F.row_number().over(by_value)).withColumn("_next", F.lead("id").over(by_value))
+    todo = stored(index.filter("rank > 1 OR _next IS NOT NULL").drop("_next").withColumn("comp", F.col("id")), "index")
+    links: DataFrame | None = None
+    joined: DataFrame | None = None
+    done, take = 0, 1
+    while todo.limit(1).count():
+        heads = todo.filter(F.col("rank") <= done + take).select("value", *[F.col(c).alias(f"to_{c}") for c in ("id", "size", "pos", "rank", "comp")])
+        # What two sets share at most when this is their first common shingle, and what they must share.
+        most = F.least(F.col("size") - F.col("pos"), F.col("to_size") - F.col("to_pos"))
+        least = similarity / (1 + similarity) * (F.col("size") + F.col("to_size")) - 1e-6
+        met = (
+            todo.join(heads.hint("merge"), "value")
+            .filter((F.col("rank") > F.col("to_rank")) & (F.col("comp") != F.col("to_comp")) & (most >= least))
+            .select(F.greatest("id", "to_id").alias("id"), F.least("id", "to_id").alias("to"))
+            .distinct()
+        )
+        differing = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        for key, bits, n in (("id", "a", "n"), ("to", "b", "m")):
+            met = met.join(prints.select(F.col("id").alias(key), F.col("parity").alias(bits), F.col("size").alias(n)), key)
+        differ_most = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
+        near = stored(met.filter(differing <= differ_most).select("id", "to"), "near")
+        if near.limit(1).count():
+            involved = stored(near.select("id").unionByName(near.select(F.col("to").alias("id"))).distinct(), "involved")
+            sets = stored(
+                _set_rows(texts.join(involved, "id", "left_semi"), "id", "text", words, "shingles array<long>", lambda s: (s.view(np.int64),)), "sets"
+            )
+            both = F.size(F.array_intersect("a", "b"))
+            found = stored(
+                near.join(sets.select("id", F.col("shingles").alias("a")), "id")
+                .join(sets.select(F.col("id").alias("to"), F.col("shingles").alias("b")), "to")
+                .filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9)
+                .select(F.col("id").alias("src"), F.col("to").alias("dst")),
+                "found",
+            )
+            links = found if links is None else links.unionByName(found)
+            joined = stored(connected_components(links), "components")
+        done, take = done + take, take * 32
+        # Who has led has met all it can meet in that value.
+        rest = todo.filter(F.col("rank") > done)
+        if joined is not None:
+            known = joined.select("id", F.col("component").alias("_comp"))
+            rest = rest.join(known, "id", "left").withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp")
+        open_values = rest.groupBy("value").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high")
+        todo = stored(rest.join(open_values.select("value"), "value", "left_semi").select(*todo.columns), "index")
+    if joined is None:
+        return texts.sparkSession.createDataFrame([], "id long, component long")
+    return joined
 
 
 def one_of_each_group(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text: str = "text",
-    words: int = 5,
-    similarity: float = 0.8,
-    lanes: int = 12,
-    per_lane: int = 4,
-    leaders: int = 24,
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
-    """The documents without those whose word shingles are near an earlier document's.
-
-    Of equal texts the first by id stays (null ids last). A later text goes when
-    the Jaccard similarity of its set of ``words``-word shingles with an earlier
-    one's is ``similarity`` or more. Candidates come from a fingerprint of 64 x
-    ``lanes`` bits: all pairs within ``lanes * per_lane - 1`` bits are met, and
-    others with the chance that some partition agrees; with the default 48
-    partitions of 16 bits that is 97 % at a similarity of 0.8 and over 99 % from
-    0.85. Partition width should grow with the logarithm of the corpus.
-
-    Candidates of a partition value are compared with its earliest text first;
-    who is near it is gone before the next ``leaders`` earliest texts are, and so
-    on until all are compared. A group of copies thus costs one comparison per
-    member, and a document is only compared with texts that stay or go in the
-    same round. Documents that repeat in id and text stay or go together.
+    """The documents without those that hang together with an earlier one by near copies.
+
+    Two documents are near when the Jaccard similarity of their sets of
+    ``words``-word shingles is ``similarity`` or more. All such pairs count,
+    also through documents that go, and of each connected group the first by id
+    stays (null ids last). Documents that repeat in id and text stay or go
+    together. Texts of one shingle set are one text, texts without a word too.
     """
     doc = fresh(docs, "_doc")
     keyed = docs.withColumn(doc, F.xxhash64(F.col(id_col), F.col(text)))
-    body = F.coalesce(F.col(text), F.lit(""))
     place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(doc).alias("doc"))
-    same = (
-        keyed.select(place.alias("place"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit("2"), body).alias("h2"))
-        .groupBy("h1", "h2")
-        .agg(F.min("place").alias("place"))
-        .select("place")
-    )
+    names = _set_rows(keyed, doc, text, words, "h1 long, h2 long", _set_name).withColumnRenamed("id", doc)
+    body = keyed.select(doc, F.col(text).alias("text")).dropDuplicates([doc])
+    ids = keyed.select(F.col(doc), place.alias("place")).dropDuplicates([doc])
+    same = names.join(ids, doc).groupBy("h1", "h2").agg(F.min("place").alias("place")).select("place")
     # Numbers that rise with the place stand for the texts from here on.
     same = stored(
         same.repartitionByRange("place")
@@ -346,65 +447,7 @@ def one_of_each_group(
         .select(F.monotonically_increasing_id().alias("id"), F.col("place.doc").alias(doc)),
         "texts",
     )
-    prints = fingerprints(keyed.join(same.select(doc), doc, "left_semi"), doc, text, words, lanes).dropDuplicates([doc])
-    prints = stored(prints.join(same, doc).select("id", "lanes"), "prints")
-    counted, asked = probes(prints, lanes, per_lane, lanes * per_lane - 1, 1)
-    hint = prints.select("id", F.col("lanes")[0].alias("hint"))
-    index = counted.filter("n > 1").select("id", "part", "value")
-    asked = stored(asked.join(index.select("part", "value").distinct(), ["part", "value"], "left_semi"), "asked")
-    gone: DataFrame | None = None
-    take = 1
-    # Angle of two sets at the similarity, and five standard deviations above the share of bits it turns.
-    cosine = 2 * similarity / (1 + similarity)
-    share = float(np.arccos(cosine) / np.pi)
-    most = [int(np.ceil(b * share + 5 * np.sqrt(b * share * (1 - share)))) for b in (64, 64 * lanes)]
-    while index.limit(1).count():
-        rank = F.row_number().over(Window.partitionBy("part", "value").orderBy("id"))
-        ranked = index.withColumn("rank", rank)
-        heads = ranked.filter(F.col("rank") <= take).join(hint, "id")
-        heads = heads.select("part", "value", F.col("id").alias("to"), F.col("hint").alias("to_hint"))
-        close = F.bit_count(F.col("hint").bitwiseXOR(F.col("to_hint"))) <= most[0]
-        met = (
-            asked.join(hint, "id")
-            .join(heads, ["part", "value"])
-            .filter((F.col("id") > F.col("to")) & close)
-            .select("id", "to")
-            .distinct()
-        )
-        apart = F.aggregate(
-            F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
-        )
-        near = stored(
-            met.join(prints.select("id", F.col("lanes").alias("a")), "id")
-            .join(prints.select(F.col("id").alias("to"), F.col("lanes").alias("b")), "to")
-            .filter(apart <= most[1])
-            .select("id", "to"),
-            "near",
-        )
-        involved = near.select("id").unionByName(near.select(F.col("to").alias("id"))).distinct()
-        involved = stored(involved.join(same, "id"), "involved")
-        sets = _shingle_sets(keyed.join(involved.select(doc), doc, "left_semi"), doc, text, words)
-        sets = sets.withColumnRenamed("id", doc).dropDuplicates([doc])
-        sets = stored(sets.join(involved, doc).select("id", "shingles"), "sets")
-        both = F.size(F.array_intersect("a", "b"))
-        found = stored(
-            near.join(sets.select("id", F.col("shingles").alias("a")), "id")
-            .join(sets.select(F.col("id").alias("to"), F.col("shingles").alias("b")), "to")
-            .filter(both >= similarity * (F.size("a") + F.size("b") - both))
-            .select("id")
-            .distinct(),
-            "found",
-        )
-        gone = found if gone is None else gone.unionByName(found)
-        # What has been a leader has met all it can meet in that value.
-        rest = ranked.filter(F.col("rank") > take).drop("rank").join(found, "id", "left_anti")
-        index = stored(rest, "index")
-        asked = stored(
-            asked.join(found, "id", "left_anti").join(
-                index.select("part", "value").distinct(), ["part", "value"], "left_semi"
-            ),
-            "asked",
-        )
-        take = leaders
-    kept = same if gone is None else same.join(gone, "id", "left_anti")
+    texts = body.join(same, doc).select("id", "text")
+    joined = near_links(texts, similarity, words, shingle_sketch(docs, text, words))
+    kept = same.join(joined.filter("id <> component").select("id"), "id", "left_anti")
     return keyed.join(kept.select(doc), doc, "left_semi").select(*docs.columns)

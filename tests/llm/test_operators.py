@@ -116,6 +116,47 @@ def test_one_of_each_group(docs, rows, none):
     assert simhash.one_of_each_group(none).columns == none.columns
 
 
+def near_copies(rng, base, share):
+    """A copy of the words with some replaced, so that the shingle sets are ``share`` alike or a little more."""
+    have = {tuple(base[i : i + 5]) for i in range(len(base) - 4)}
+    copy = list(base)
+    for k in rng.permutation(len(base)):
+        new = [*copy[:k], f"new{rng.integers(1 << 40)}", *copy[k + 1 :]]
+        got = {tuple(new[i : i + 5]) for i in range(len(new) - 4)}
+        if len(have & got) < share * len(have | got):
+            break
+        copy = new
+    return copy
+
+
+def first_of_groups(texts, t=0.8):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, w in texts.items()}
+    label = {i: i for i in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if label[a] != label[b] and 10 * len(sets[a] & sets[b]) >= 10 * t * len(sets[a] | sets[b]):
+            low, high = sorted((label[a], label[b]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    return sorted(set(label.values()))
+
+
+def kept_of(spark, texts):
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    return sorted(r.doc_id for r in simhash.one_of_each_group(df).collect())
+
+
+def test_every_pair_from_the_similarity_on_is_met(spark):
+    rng = np.random.default_rng(3)
+    texts = {}
+    for k in range(120):
+        texts[k] = [f"w{x}" for x in rng.integers(1 << 30, size=rng.integers(40, 160))]
+        texts[1000 + k] = near_copies(rng, texts[k], 0.8 + 0.001 * (k % 100))
+    # One shingle repeated unequally: equal sets.
+    many = [f"u{x}" for x in range(50)]
+    texts[2000], texts[2001] = many + ["z"] * 50, many + ["z"] * 12
+    want = first_of_groups(texts)
+    assert len(want) == 121 and kept_of(spark, texts) == want
+
+
 @pytest.mark.parametrize("length,limit", [(400, 4000), (60, 4000), (60, 1)])
 def test_suffix(docs, rows, none, length, limit, monkeypatch):
     monkeypatch.setattr(suffix, "SORTED_TOGETHER", limit)
