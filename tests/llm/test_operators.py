@@ -157,6 +157,14 @@ def test_every_pair_from_the_similarity_on_is_met(spark):
     assert len(want) == 121 and kept_of(spark, texts) == want
 
 
+def test_crowded_boilerplate_hides_no_pair(spark):
+    rng = np.random.default_rng(4)
+    passage = [f"p{x}" for x in range(60)]
+    texts = {k: passage + [f"w{x}" for x in rng.integers(1 << 30, size=25 + k % 9)] for k in range(90)}
+    texts |= {1000 + k: near_copies(rng, texts[k], 0.8) for k in range(0, 90, 3)}
+    assert kept_of(spark, texts) == first_of_groups(texts)
+
+
 @pytest.mark.parametrize("length,limit", [(400, 4000), (60, 4000), (60, 1)])
 def test_suffix(docs, rows, none, length, limit, monkeypatch):
     monkeypatch.setattr(suffix, "SORTED_TOGETHER", limit)
