@@ -165,6 +165,19 @@ def test_crowded_boilerplate_hides_no_pair(spark):
     assert kept_of(spark, texts) == first_of_groups(texts)
 
 
+def test_chains_are_followed_through_texts_that_go(spark):
+    rng = np.random.default_rng(6)
+    base = [f"b{x}" for x in range(150)]
+    # Copies made independently of one base: near to it, not to each other; the base is not the first.
+    texts = {k: near_copies(rng, base, 0.82) for k in range(60)} | {30_000: base}
+    line = [f"c{x}" for x in range(100)]
+    for k in range(100, 108):
+        texts[k] = line
+        line = near_copies(rng, line, 0.85)
+    want = first_of_groups(texts)
+    assert want == [0, 100] and kept_of(spark, texts) == want
+
+
 @pytest.mark.parametrize("length,limit", [(400, 4000), (60, 4000), (60, 1)])
 def test_suffix(docs, rows, none, length, limit, monkeypatch):
     monkeypatch.setattr(suffix, "SORTED_TOGETHER", limit)
