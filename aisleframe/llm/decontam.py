@@ -2,14 +2,15 @@
 
 A fixed mask over consecutive words ignores some of its places. The words at
 the other places are hashed, for every position of every benchmark item and of
-every document, and equal hashes are hits. The two masks together meet every
-13-word window with at most two replaced words (``tests`` prove it), so each
-overlap of 13 words at 80 % identity has a hit. Around a hit the document and
-the item are laid side by side, and the longest stretch with at least
-``identity`` equal words decides.
+every document, and equal hashes are hits. The three masks together meet every
+stretch of 13 words or more that begins and ends equal and has at most a fifth
+of its words replaced (``tests`` prove it), so each overlap at 80 % identity
+has a hit. Around a hit the document and the item are laid side by side, and
+the longest stretch with at least ``identity`` equal words decides.
 
 Words are runs of non-white-space in lower case, without marks at their ends.
-Items of fewer words than a mask is long are sought whole and unchanged.
+Items under 13 words overlap as a whole only. With up to k words replaced, their
+inner words are dealt over k + 1 shapes, one of which stays whole.
 
 Before the join, hashes that no item has are dropped by a bit map of fixed size
 (2^24 bits), so only hits and chance hits are shuffled; a larger benchmark
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from aisleframe.llm.common import fresh, settle
 
-MASKS = ("11101011", "1011000111")
+MASKS = ("11101011", "1011000111", "110010001001")
+#: Items of fewer words than this have shapes of their own.
+SHORTEST = 13
 MAP_BITS = 24
 EDGE_MARKS = ".,;:!?\"'()[]{}…“”‘’«»"
 PRIMES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -56,11 +59,17 @@ def _blend(columns: list[np.ndarray], salt: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))).view(np.int64)
 
 
+def short_shapes(n: int) -> list[list[int]]:
+    """Places of a whole item of ``n`` words: with both ends equal and a fifth replaced, one shape has no replaced word."""
+    ways = n // 5 + 1
+    return [[i for i in range(n) if i in (0, n - 1) or i % ways == k] for k in range(ways)]
+
+
 def seeds(words: np.ndarray, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of all masks, and of whole runs of the ``short`` lengths."""
+    """(hashes, positions) of all masks, and of the shapes of the ``short`` lengths."""
     hashes, places = [], []
     shapes = [(k, [i for i, c in enumerate(m) if c == "1"], len(m)) for k, m in enumerate(MASKS)]
-    shapes += [(100 + s, list(range(s)), s) for s in short]
+    shapes += [(100 + 100 * s + k, on, s) for s in short for k, on in enumerate(short_shapes(s))]
     for salt, on, span in shapes:
         n = len(words) - span + 1
         if n > 0:
@@ -73,13 +82,12 @@ def seeds(words: np.ndarray, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 def _scan(short: list[int], wanted: np.ndarray | None, whole_only: bool):
     """mapInArrow body: (key, text) to (key, hash, place)."""
-    longest = max(len(m) for m in MASKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column(1)):
                 words = word_hashes(text.as_py())
-                mine = [len(words)] if whole_only and 0 < len(words) < longest else [] if whole_only else short
+                mine = [len(words)] if whole_only and 0 < len(words) < SHORTEST else [] if whole_only else short
                 h, at = seeds(words, mine)
                 if wanted is not None and len(h):
                     slot = (h.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
@@ -139,9 +147,8 @@ def overlaps(
     item_seeds = settle(
         items.select("key", "item_text").mapInArrow(_scan([], None, True), "key long, hash long, place int").distinct()
     )
-    longest = max(len(m) for m in MASKS)
     lengths = items.select(F.size(F.filter(F.split(F.lower("item_text"), r"\s+"), lambda w: w != "")).alias("n")).filter(
-        F.col("n").between(1, longest - 1)
+        F.col("n").between(1, SHORTEST - 1)
     )
     short = sorted(r["n"] for r in lengths.distinct().collect())
     # The bit map: at most 2^(MAP_BITS - 6) words of 64 bits, however many items there are.

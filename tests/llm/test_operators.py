@@ -296,6 +296,43 @@ def test_masks_meet_every_window():
         )
 
 
+def fewest_replaced(masks, upto):
+    """By length, the fewest replaced words that leave no mask clear in a stretch with both ends equal."""
+    places = [(int(m, 2), len(m)) for m in masks]
+    keep = (1 << max(n for _, n in places)) - 1
+    states, out = {0: 0}, {}
+    for n in range(1, upto + 1):
+        after = {}
+        for state, cost in states.items():
+            for bad in (0, 1) if n > 1 else (0,):
+                new = (state << 1 | bad) & keep
+                if not any(n >= k and not new & m for m, k in places):
+                    after[new] = min(cost + bad, after.get(new, 99))
+        states = after
+        out[n] = min((c for s, c in states.items() if not s & 1), default=99)
+    return out
+
+
+def test_masks_meet_every_stretch_at_80_percent():
+    fewest = fewest_replaced(decontam.MASKS, 100)
+    assert all(fewest[n] > n // 5 for n in range(13, 101))
+    assert fewest_replaced(("11101011", "1011000111"), 15)[15] == 3
+    for n in range(1, 13):
+        for bad in itertools.combinations(range(1, max(n - 1, 1)), n // 5):
+            assert any(not set(bad) & set(on) for on in decontam.short_shapes(n))
+
+
+def test_short_items_and_replaced_words_at_exactly_80_percent(spark):
+    def words_off(n, off):
+        return " ".join(f"other{i}" if i in off else f"word{n}x{i}" for i in range(n))
+
+    cases = [(15, (2, 7, 10)), (12, (3, 7)), (10, (3, 6)), (7, (3,)), (5, (2,)), (4, ())]
+    bench = spark.createDataFrame([(n, words_off(n, ())) for n, _ in cases], "item_id long, text string")
+    more = spark.createDataFrame([(n, f"a b {words_off(n, off)} c") for n, off in cases] + [(99, words_off(4, (1,)))], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.overlap_words for r in decontam.overlaps(more, bench).collect()}
+    assert got == {(n, n): n for n, _ in cases}
+
+
 def test_best_stretch():
     rng = np.random.default_rng(1)
     for _ in range(200):
