@@ -151,17 +151,19 @@ def test_every_pair_from_the_similarity_on_is_met(spark):
         texts[k] = [f"w{x}" for x in rng.integers(1 << 30, size=rng.integers(40, 160))]
         texts[1000 + k] = near_copies(rng, texts[k], 0.8 + 0.001 * (k % 100))
     # One shingle repeated unequally: equal sets.
-    many = [f"u{x}" for x in range(50)]
-    texts[2000], texts[2001] = many + ["z"] * 50, many + ["z"] * 12
+    for k in range(20):
+        many = [f"u{k}x{x}" for x in range(50)]
+        texts[2000 + k], texts[3000 + k] = many + ["z"] * 50, many + ["z"] * 12
     want = first_of_groups(texts)
-    assert len(want) == 121 and kept_of(spark, texts) == want
+    assert len(want) == 140 and kept_of(spark, texts) == want
 
 
 def test_crowded_boilerplate_hides_no_pair(spark):
     rng = np.random.default_rng(4)
     passage = [f"p{x}" for x in range(60)]
-    texts = {k: passage + [f"w{x}" for x in rng.integers(1 << 30, size=25 + k % 9)] for k in range(90)}
-    texts |= {1000 + k: near_copies(rng, texts[k], 0.8) for k in range(0, 90, 3)}
+    # The repeated word weighs so much in fingerprints that many share part of one.
+    texts = {k: passage[:20] + ["z"] * (20 + k % 40) + [f"w{x}" for x in rng.integers(1 << 30, size=60)] for k in range(240)}
+    texts |= {1000 + k: near_copies(rng, texts[k], 0.8) for k in range(0, 240, 3)}
     assert kept_of(spark, texts) == first_of_groups(texts)
 
 
