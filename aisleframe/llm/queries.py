@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aisleframe.llm import decontam, line_dedup, lm_score, mixing, pii, quality, simhash, suffix, tokens, warc
-from aisleframe.llm.common import table
+from aisleframe.llm import (
+    decontam,
+    factorise,
+    line_dedup,
+    lm_score,
+    mixing,
+    periodic,
+    pii,
+    quality,
+    resample,
+    simhash,
+    suffix,
+    tokens,
+    warc,
+)
+from aisleframe.llm.common import table, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +147,41 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", "n_near", F.md5("text").alias("text_md5")
     )
+
+
+@query("op11_quality_fm")
+def op11_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = factorise.fit(docs, table(spark, sf_dir, "labels"), folds=5)
+    return factorise.score(docs, machine, folds=5, threshold=0.3)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document by hash, the words from one on repeat with a period, both by that hash."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    # Words of the chosen texts alone; the others are not split here.
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(chosen, words_of(F.col("text"))).alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1)
+    a, p = F.col("a"), F.col("p")
+    changed = F.transform("w", lambda x, i: F.when(i >= a, F.get("w", (a + (i - a) % p).cast("int"))).otherwise(x))
+    return rows.select("doc_id", F.when(F.col("n") > 0, F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(with_periods(table(spark, sf_dir, "documents")), min_words=24, min_repeats=3)
+
+
+@query("op13_importance_resampling")
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "benchmark"),
+        percent=25,
+        max_words=2,
+        buckets=10_000,
+        min_words=20,
+        seed=7,
+    )
