@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that one task may order to find the end of a sample.
+EDGE_ROWS = 100_000
+
 
 def draw_order(*keys: str | Column, seed: int = 42) -> Column:
     """Pseudo-random but repeatable sort key for a row with the given keys."""
@@ -13,8 +16,28 @@ def draw_order(*keys: str | Column, seed: int = 42) -> Column:
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """``n`` rows in hash order of their keys (a top-n, so no full sort)."""
-    return df.orderBy(draw_order(*keys, seed=seed), *keys).limit(n)
+    """``n`` rows in hash order of their keys.
+
+    Counts of the leading hash digits tell where the cut lies: three digits,
+    and three more while the rows that share them are many. Rows before the cut
+    are taken where they are, and only those that share its digits are ordered.
+    """
+    keyed = df.withColumn("_draw", draw_order(*keys, seed=seed))
+    lead, before, sharing = "", 0, None
+    while sharing is None or (sharing > EDGE_ROWS and len(lead) < 12):
+        inside = keyed.filter(F.col("_draw").startswith(lead))
+        digits = F.substring("_draw", 1, len(lead) + 3)
+        # At most 4,096 rows.
+        sharing = None
+        for r in inside.groupBy(digits.alias("b")).count().orderBy("b").collect():
+            if before + r["count"] > n:
+                lead, sharing = r["b"], r["count"]
+                break
+            before += r["count"]
+        if sharing is None:
+            return keyed.drop("_draw")
+    edge = keyed.filter(F.col("_draw").startswith(lead)).orderBy("_draw", *keys).limit(n - before)
+    return keyed.filter(F.col("_draw") < lead).unionByName(edge).drop("_draw")
 
 
 def sample_groups(df: DataFrame, group: str, one_in: int = 10, seed: int = 42) -> DataFrame:

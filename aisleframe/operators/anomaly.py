@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aisleframe.functions.quantiles import exact_quantiles
-from aisleframe.functions.sampling import draw_order, first_k_per_group, sample_rows
+from aisleframe.functions.sampling import first_k_per_group
 from aisleframe.operators.encoding import complete_cases
 from aisleframe.session import settle
 
@@ -56,22 +57,65 @@ def _grow(tree: int, x: np.ndarray, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
 
 
+def draw_for_trees(rows: DataFrame, features: list[str], keys: list[str], n_trees: int, tree_rows: int, seed: int) -> DataFrame:
+    """(tree, draw, x): for each tree the ``tree_rows`` rows with the least hash, of all rows.
+
+    A row has a hash of its own for every tree, so each tree draws from the
+    whole table however it is partitioned. The number of rows tells below which
+    hash a tree's rows lie, with room to spare, so a task passes on about that
+    many rows a tree and no more; should a tree get too few, the bound is widened.
+    """
+    narrow = rows.select(F.xxhash64(F.lit(seed), *keys).alias("h"), *[F.col(c).cast("double") for c in features])
+    total = rows.count()
+    bound = tree_rows + 10 * int(np.sqrt(tree_rows)) + 20
+
+    def draw(share: float) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h = batch.column(0).to_numpy().view(np.uint64)
+                x = np.column_stack([c.to_numpy() for c in batch.columns[1:]])
+                for tree in range(n_trees):
+                    mine = _scramble(h, tree)
+                    rows_in = np.nonzero(mine <= np.uint64(min(int(share * 2.0**64), (1 << 64) - 1)))[0]
+                    if len(rows_in):
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "tree": pa.array(np.full(len(rows_in), tree, np.int32)),
+                                # Unsigned order as signed numbers.
+                                "draw": pa.array((mine[rows_in] ^ np.uint64(1 << 63)).view(np.int64)),
+                                "x": pa.array(list(x[rows_in]), pa.list_(pa.float64())),
+                            }
+                        )
+
+        return narrow.mapInArrow(run, "tree int, draw long, x array<double>")
+
+    share = min(1.0, bound / max(total, 1))
+    while True:
+        drawn = settle(draw(share))
+        least = drawn.groupBy("tree").count().agg(F.min("count"), F.count("*")).first()
+        if share >= 1.0 or (least[1] == n_trees and least[0] >= min(tree_rows, total)):
+            return first_k_per_group(drawn, ["tree"], [F.col("draw").asc(), F.col("x").asc()], tree_rows)
+        share = min(1.0, share * 2)
+
+
+def _scramble(h: np.ndarray, tree: int) -> np.ndarray:
+    """Another hash of each row for each tree (splitmix64)."""
+    with np.errstate(over="ignore"):
+        z = h + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def grow_forest(rows: DataFrame, features: list[str], keys: list[str], n_trees: int, tree_rows: int, seed: int) -> DataFrame:
-    """Trees as rows. Each tree sees its own hash-drawn rows of a bounded pool."""
-    pool = sample_rows(rows.select(*keys, *features), n_trees * tree_rows, keys, seed)
-    drawn = first_k_per_group(
-        pool.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).withColumn(
-            "_draw", draw_order("_tree", *keys, seed=seed + 1)
-        ),
-        ["_tree"],
-        [F.col("_draw").asc()],
-        tree_rows,
-    )
+    """Trees as rows; each is grown from its own draw of all rows."""
+    drawn = draw_for_trees(rows, features, keys, n_trees, tree_rows, seed)
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _grow(int(key[0]), pdf.sort_values("_draw")[features].to_numpy(dtype=np.float64), seed)
+        pdf = pdf.assign(x=pdf["x"].map(tuple)).sort_values(["draw", "x"])
+        return _grow(int(key[0]), np.array(pdf["x"].tolist(), np.float64).reshape(len(pdf), -1), seed)
 
-    return drawn.groupBy("_tree").applyInPandas(build, NODE_SCHEMA)
+    return drawn.groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
 def isolation_scores(
