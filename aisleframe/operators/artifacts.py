@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aisleframe.operators.leadership import leadership_summary
 from aisleframe.operators.market import dispersion_summary
 from aisleframe.operators.warehouse import basket_coverage, on_latest_day
+from aisleframe.session import settle
 
 
 def _nest(df: DataFrame, name: str, by: list[str]) -> DataFrame:
@@ -56,6 +57,8 @@ def basket_documents(fact: DataFrame, baskets: DataFrame) -> DataFrame:
 
 def dynamics_document(dispersion: DataFrame, leadership: DataFrame) -> DataFrame:
     """Dispersion series, leadership rows and their summaries in one document."""
+    # Both are small, made from everything, and used for the rows and for the summary.
+    dispersion, leadership = settle(dispersion), settle(leadership)
     series = dispersion.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "dispersion")
     summary = dispersion_summary(dispersion).select("latest_dispersion", "avg_dispersion")
     lead = leadership_summary(leadership).select(

@@ -10,6 +10,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aisleframe.functions.ranking import with_rank
+
 # Never model inputs (target, keys, and the same row's unit price).
 NON_FEATURES = ["prices", "date", "product_name", "canonical_name", "normalised_name", "prices_unit"]
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean")
@@ -101,6 +103,41 @@ def fit_spec(train: DataFrame, exclude: list[str] = NON_FEATURES) -> FeatureSpec
     return FeatureSpec(feature_columns(train, exclude), {c: sorted(v) for c, v in levels.items()})
 
 
+def level_table(train: DataFrame, categories: list[str]) -> DataFrame:
+    """(category, level, position): every level of every category but the first, positions in one sequence.
+
+    Categories keep the order given and levels are sorted inside them, as in
+    ``FeatureSpec``; nothing of it passes through the driver but one count per
+    category, so a category may have any number of levels.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"`{c}`").cast("string").alias("level")) for c in categories])
+    seen = train.select(F.explode(pairs).alias("p")).select("p.*").filter(F.col("level").isNotNull()).distinct()
+    ranks = with_rank(seen, [F.col("level")], within="category", name="_rank")
+    sizes = {r["category"]: r["n"] for r in ranks.groupBy("category").agg(F.max("_rank").alias("n")).collect()}
+    offset, start = {}, 0
+    for c in categories:
+        offset[c] = start
+        start += max(sizes.get(c, 0) - 1, 0)
+    first = F.create_map(*[x for c in categories for x in (F.lit(c), F.lit(offset[c]))])
+    return ranks.filter("_rank > 1").select("category", "level", (first[F.col("category")] + F.col("_rank") - 2).alias("position"))
+
+
+def encode_sparse(rows: DataFrame, levels: DataFrame, categories: list[str], name: str = "active") -> DataFrame:
+    """Adds ``name``: the sorted positions of a row's levels, the ones of its one-hot vector.
+
+    One left join by value per category: the plan grows with the categories and
+    not with their levels. The first level, nulls and unseen values have no
+    position. Spark broadcasts the levels of a category while they are few and
+    splits a level that holds many rows otherwise.
+    """
+    out = rows
+    for j, c in enumerate(categories):
+        mine = levels.filter(F.col("category") == c).select(F.col("level").alias(f"_level{j}"), F.col("position").alias(f"_position{j}"))
+        out = out.join(mine, F.col(f"`{c}`").cast("string") == F.col(f"_level{j}"), "left").drop(f"_level{j}")
+    found = [f"_position{j}" for j in range(len(categories))]
+    return out.withColumn(name, F.sort_array(F.array_compact(F.array(*found)))).drop(*found)
+
+
 def time_split(df: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame]:
     """Rows up to ``days`` before the newest date, and the rows after that."""
     cutoff = df.agg(F.date_sub(F.max("date"), days).alias("d")).scalar()

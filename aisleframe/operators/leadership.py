@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from aisleframe.functions.numeric import safe_corr
 from aisleframe.functions.sampling import draw_order, first_k_per_group, sample_rows
 from aisleframe.operators.market import multi_retailer_products
-from aisleframe.operators.series import SERIES, daily_series, forward_filled
+from aisleframe.operators.series import SERIES, forward_filled
+from aisleframe.session import settle
 
 # Fixed value: below this sample variance a price series counts as constant.
 MIN_VARIANCE = 1e-6
@@ -61,6 +62,34 @@ def store_pairs(arrays: DataFrame) -> DataFrame:
     return lead.join(follow, "canonical_name").filter(F.col("leader") != F.col("follower"))
 
 
+def common_date_pairs(daily: DataFrame) -> DataFrame:
+    """Ordered retailer pairs on the dates both have a price, one row per pair and product.
+
+    For series with gaps of their own: nothing is filled, the dates of the two
+    are intersected, and a lag then counts common dates. ``daily`` has one row
+    per retailer, product and date at most; the intersection is an equal join
+    by product and date, so it is dealt by date and not by product. Gives the
+    columns of ``store_pairs``; arrays are bounded by the calendar.
+    """
+    priced = daily.filter(F.col("price").isNotNull())
+    lead = priced.select("canonical_name", "date", F.col("supermarket").alias("leader"), F.col("price").alias("_a"))
+    follow = priced.select("canonical_name", "date", F.col("supermarket").alias("follower"), F.col("price").alias("_b"))
+    both = lead.join(follow, ["canonical_name", "date"]).filter(F.col("leader") != F.col("follower"))
+    points = F.sort_array(F.collect_list(F.struct("date", "_a", "_b")))
+    return (
+        both.groupBy("leader", "follower", "canonical_name")
+        .agg(points.alias("_points"))
+        .select(
+            "leader",
+            "follower",
+            "canonical_name",
+            F.size("_points").alias("n_dates"),
+            F.transform("_points", lambda p: p["_a"]).alias("_x"),
+            F.transform("_points", lambda p: p["_b"]).alias("_y"),
+        )
+    )
+
+
 def lag_correlations(pairs: DataFrame, max_lag: int) -> DataFrame:
     """Correlation of leader at t with follower at t - lag, for every lag.
 
@@ -112,13 +141,17 @@ def price_leadership(
     given, a draw of ``sample_size`` of them. The variant with ``min_stores=None``, ``products_per_pair=100``,
     ``min_correlation=0.2`` and ``drop_zero=False`` skips the common-product rule.
     """
-    chosen = rows
+    # The rows are read once: a mean per retailer, product and day answers all that follows.
+    days = settle(rows.groupBy(*SERIES, "date").agg(F.avg("prices").alias("price")))
+    chosen = days
     if min_stores is not None:
-        names = multi_retailer_products(rows, at_least=min_stores).select("canonical_name")
+        names = multi_retailer_products(days, at_least=min_stores).select("canonical_name")
         if sample_size is not None:
             names = sample_rows(names, sample_size, ["canonical_name"], seed)
-        chosen = rows.join(names, "canonical_name", "left_semi")
-    pairs = store_pairs(series_arrays(forward_filled(daily_series(chosen))))
+        chosen = days.join(names, "canonical_name", "left_semi")
+    # Each side of a pair would fill the series again.
+    arrays = settle(series_arrays(forward_filled(chosen.filter(F.col("price").isNotNull()))))
+    pairs = store_pairs(arrays)
     if products_per_pair is not None:
         pairs = first_k_per_group(
             pairs, ["leader", "follower"], [draw_order("canonical_name", seed=seed)], products_per_pair

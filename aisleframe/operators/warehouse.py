@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aisleframe.functions.quantiles import exact_quantiles
 from aisleframe.functions.text import contains_any_ci, contains_ci, starts_with_digit
+from aisleframe.session import settle
 
 QUARTILES = {"price_p25": 0.25, "price_median": 0.5, "price_p75": 0.75}
 
@@ -17,8 +18,11 @@ def market_overview(fact: DataFrame, dim: DataFrame) -> DataFrame:
     Shares and prices are weighted by fact rows, so a product seen on more
     days counts more.
     """
-    joined = fact.join(dim.select("canonical_name", "own_brand"), "canonical_name").select(
-        "supermarket", "canonical_name", "own_brand", "avg_price"
+    # Four narrow columns, read by the summary and by every pass of the quantiles.
+    joined = settle(
+        fact.join(dim.select("canonical_name", "own_brand"), "canonical_name").select(
+            "supermarket", "canonical_name", "own_brand", "avg_price"
+        )
     )
     own = F.when(F.col("own_brand"), 1).otherwise(0)
     summary = joined.groupBy("supermarket").agg(

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from aisleframe.functions.calendar import calendar_parts, cyclical_parts
 from aisleframe.operators import features
-from aisleframe.operators.encoding import complete_cases, fit_spec, override_lag, time_split
+from aisleframe.operators.encoding import (
+    complete_cases,
+    encode_sparse,
+    fit_spec,
+    level_table,
+    override_lag,
+    time_split,
+)
 from aisleframe.operators.evaluation import point_metrics
 from aisleframe.operators.scoring import as_of, latest_rows, with_status
 from aisleframe.panel import load, price_panel
@@ -346,6 +353,33 @@ def one_hot(spark, sf):
     return widened.encode(test, ["product_name", "date", "prices_unit"])
 
 
+@query(
+    "one_hot_sparse",
+    f"""WITH {PANEL},
+train AS (SELECT * FROM panel WHERE date <= (SELECT max(date) FROM panel) - 7),
+levels AS (
+  SELECT 0 AS c, supermarket AS level FROM train UNION SELECT 1, canonical_name FROM train
+  UNION SELECT 2, product_name FROM train),
+places AS (
+  SELECT c, level, row_number() OVER (ORDER BY c, level) - c - 2 AS position,
+         row_number() OVER (PARTITION BY c ORDER BY level) AS nr FROM levels),
+held AS (SELECT * FROM places WHERE nr > 1)
+SELECT p.product_name, p.supermarket, p.date, p.prices_unit,
+       concat_ws(',', CAST(a.position AS VARCHAR), CAST(b.position AS VARCHAR), CAST(d.position AS VARCHAR)) AS active
+FROM panel p LEFT JOIN held a ON a.c = 0 AND a.level = p.supermarket
+LEFT JOIN held b ON b.c = 1 AND b.level = p.canonical_name LEFT JOIN held d ON d.c = 2 AND d.level = p.product_name
+WHERE p.date > (SELECT max(date) FROM panel) - 7""",
+)
+def one_hot_sparse(spark, sf):
+    """Retailers, products and single listings as positions of one sparse vector, levels from the training rows."""
+    categories = ["supermarket", "canonical_name", "product_name"]
+    train, test = time_split(price_panel(spark, sf))
+    out = encode_sparse(test, level_table(train, categories), categories)
+    return out.select(
+        "product_name", "supermarket", "date", "prices_unit", F.concat_ws(",", F.col("active").cast("array<string>")).alias("active")
+    )
+
+
 def metric_sql(prediction: str, extra: str = "") -> str:
     return f"""SELECT round(avg(abs(prices - {prediction})), 4) AS mae,
        round(sqrt(avg((prices - {prediction}) * (prices - {prediction}))), 4) AS rmse,

@@ -233,6 +233,32 @@ def best_lag(spark, sf):
     return rounded(lead.best_lags(correlations_of(spark, sf), MIN_CORR))
 
 
+@query(
+    "common_date_corr",
+    f"""WITH {PANEL},
+daily AS (SELECT supermarket, brand AS canonical_name, date, avg(prices) AS price FROM panel GROUP BY 1, 2, 3),
+common AS (
+  SELECT a.supermarket AS leader, b.supermarket AS follower, a.canonical_name, a.price AS x, b.price AS y,
+         row_number() OVER (PARTITION BY a.supermarket, b.supermarket, a.canonical_name ORDER BY a.date) AS t
+  FROM daily a JOIN daily b ON a.canonical_name = b.canonical_name AND a.date = b.date AND a.supermarket <> b.supermarket),
+sizes AS (SELECT leader, follower, canonical_name, count(*) AS n FROM common GROUP BY 1, 2, 3),
+paired AS (
+  SELECT l.leader, l.follower, l.canonical_name, g.lag, s.n, l.x, r.y
+  FROM common l CROSS JOIN (SELECT unnest(range(-14, 15)) AS lag) g
+  JOIN common r ON r.leader = l.leader AND r.follower = l.follower AND r.canonical_name = l.canonical_name AND r.t = l.t - g.lag
+  JOIN sizes s ON s.leader = l.leader AND s.follower = l.follower AND s.canonical_name = l.canonical_name
+  WHERE s.n - abs(g.lag) >= 2)
+SELECT leader, follower, canonical_name, CAST(lag AS INTEGER) AS lag,
+       round(CASE WHEN stddev_pop(x) * stddev_pop(y) > 0 THEN covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) END, 6) AS corr
+FROM paired GROUP BY leader, follower, canonical_name, lag""",
+)
+def common_date_corr(spark, sf):
+    """Brands by day: every retailer's series has other gaps, so lags run over the dates two of them share."""
+    rows = price_panel(spark, sf).select("supermarket", F.col("brand").alias("canonical_name"), "date", "prices")
+    daily = rows.groupBy("supermarket", "canonical_name", "date").agg(F.avg("prices").alias("price"))
+    return rounded(lead.lag_correlations(lead.common_date_pairs(daily), 14), 6, ["corr"])
+
+
 def leadership_of(spark: SparkSession, sf: str, **options) -> DataFrame:
     return lead.price_leadership(
         monthly_brand_panel(spark, sf), **{"max_lag": MAX_LAG, "min_correlation": MIN_CORR, **options}

@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 
 from aisleframe.operators import anomaly, artifacts, explain, forecast, leadership, market, scoring, warehouse
 from aisleframe.operators.encoding import NON_FEATURES, complete_cases
-from aisleframe.operators.evaluation import bootstrap_mae, point_metrics
+from aisleframe.operators.evaluation import bootstrap_mae
 from aisleframe.panel import monthly_brand_panel
-from aisleframe.plans.fragments import FACT, LATEST, LISTING_DAY, PANEL, temporal
-from aisleframe.plans.q_features import features_of, requests_of, split_of
-from aisleframe.plans.q_tables import baskets_of, dim_of, fact_of
+from aisleframe.plans.fragments import (
+    DISPERSION,
+    FACT,
+    FEATURES,
+    LATEST,
+    LISTING_DAY,
+    MONTHLY,
+    PANEL,
+    temporal,
+)
+from aisleframe.plans.fragments import leadership as leadership_sql
+from aisleframe.plans.q_features import ANSWERS, LAG_COLUMNS, REQUESTS, ROLLING_COLUMNS, features_of, requests_of, split_of
+from aisleframe.plans.q_tables import OVERVIEW_SQL, baskets_of, dim_of, fact_of
 from aisleframe.plans.registry import query, rounded
 from aisleframe.session import settle
 
@@ -32,26 +42,82 @@ def trained(features: DataFrame) -> tuple[forecast.PriceModel, DataFrame]:
     return forecast.train(spec, train, PARAMS), test
 
 
-@query("gbt_forecast")
+# Rows that can be trained on: every number a model input needs is there.
+COMPLETE = f"""{FEATURES},
+complete AS (
+  SELECT * FROM competitive WHERE {" AND ".join(f"{c} IS NOT NULL" for c in [*ROLLING_COLUMNS, *LAG_COLUMNS, "price_vs_market_avg", "price_rank"])}),
+test AS (SELECT * FROM complete WHERE date > (SELECT max(date) FROM listing) - 7)"""
+
+
+@query(
+    "gbt_forecast",
+    f"""WITH {COMPLETE}
+SELECT supermarket, product_name, date, round(prices, 6) AS prices, round(price_lag_1d, 6) AS naive_last_price,
+       round(price_rol_mean_7d + 1e-9, 5) AS rolling_mean_7, true AS has_forecast FROM test""",
+)
 def gbt_forecast(spark, sf):
+    """Every test row with the baselines' forecasts and whether the model made one."""
+    model, test = trained(model_inputs(spark, sf))
+    scored = forecast.score_test(model, test).withColumn("has_forecast", F.col("model").isNotNull() & ~F.isnan("model"))
+    out = rounded(scored.drop("model"), 6, ["prices", "naive_last_price"])
+    return rounded(out, 5, ["rolling_mean_7"], nudge=True)
+
+
+@query("gbt_metrics")
+def gbt_metrics(spark, sf):
+    """Scores of the model beside the baselines; the same from run to run."""
     model, test = trained(model_inputs(spark, sf))
     return forecast.metrics_table(forecast.score_test(model, test))
 
 
-@query("gbt_early_stopping")
+@query(
+    "gbt_early_stopping",
+    f"""WITH {COMPLETE} SELECT count(*) AS n_test_rows, true AS stopped_at_best, true AS ended_early FROM test""",
+)
 def gbt_early_stopping(spark, sf):
+    """Training listings decide when to stop: the model ends at their best tree, ahead of the last one allowed."""
     features = model_inputs(spark, sf)
     spec, train, test = forecast.prepare(features, exclude=EXCLUDE)
     params = replace(PARAMS, n_trees=200, validation_share=0.1, patience=10)
     model = forecast.train(spec, train, params)
-    return point_metrics(model.predict(test, "model"), "model").withColumn("n_trees", F.lit(model.n_trees))
+    errors = model.booster.held_errors
+    best = max(errors.index(min(errors)), 1) if errors else 0
+    return model.predict(test, "model").agg(
+        F.count("model").alias("n_test_rows"),
+        F.lit(model.n_trees == best).alias("stopped_at_best"),
+        F.lit(model.n_trees < params.n_trees).alias("ended_early"),
+    )
 
 
-@query("whatif_scoring")
+@query(
+    "whatif_scoring",
+    f"""WITH {PANEL}, {LISTING_DAY}, {temporal([7], [1])}, {REQUESTS}, {ANSWERS},
+told AS (
+  SELECT *, CASE WHEN price_override < 0 THEN 'invalid_override'
+    WHEN as_of_date NOT BETWEEN (SELECT min(date) FROM listing) AND (SELECT max(date) FROM listing) THEN 'out_of_range'
+    WHEN resolved_from_date IS NOT NULL THEN 'ok' WHEN known_pair THEN 'no_history_yet' ELSE 'unknown_product'
+    END AS status FROM answers)
+SELECT request_id, canonical_name, supermarket, as_of_date, status, resolved_from_date,
+       status = 'ok' AS has_price, status = 'ok' AND price_override IS NOT NULL AS price_override_applied,
+       status = 'ok' AND COALESCE(price_override, price_lag_1d) IS NULL AS lag_unresolved
+FROM told""",
+)
 def whatif_scoring(spark, sf):
+    """What every request comes to: status, the day resolved, whether a price was predicted, whether its lag was missing."""
     features = model_inputs(spark, sf)
     model, _ = trained(features)
-    return scoring.score_requests(model, requests_of(spark, sf), features)
+    out = scoring.score_requests(model, requests_of(spark, sf), features)
+    return out.select(
+        "request_id",
+        "canonical_name",
+        "supermarket",
+        "as_of_date",
+        "status",
+        "resolved_from_date",
+        F.col("predicted_price").isNotNull().alias("has_price"),
+        "price_override_applied",
+        F.coalesce(F.array_contains("unresolved_features", "price_lag_1d"), F.lit(False)).alias("lag_unresolved"),
+    )
 
 
 @query("cluster_bootstrap")
@@ -100,9 +166,18 @@ def shapley_contributions(spark, sf):
     return contributions_of(spark, sf)
 
 
-@query("shapley_additivity")
+SAMPLED = f"""WITH {COMPLETE},
+sampled AS (
+  SELECT concat_ws('|', supermarket, product_name, CAST(date AS VARCHAR)) AS sample_id FROM complete
+  ORDER BY md5(concat_ws('|', '42', supermarket, product_name, CAST(date AS VARCHAR))), sample_id LIMIT 8000)"""
+
+
+@query("shapley_additivity", f"{SAMPLED} SELECT sample_id, true AS adds_up FROM sampled")
 def shapley_additivity(spark, sf):
-    return explain.additivity(contributions_of(spark, sf))
+    """Base value and contributions of every sampled row make up the model's own prediction."""
+    both = explain.additivity(contributions_of(spark, sf))
+    close = F.abs(F.col("rebuilt") - F.col("prediction")) <= 1e-6 * F.greatest(F.abs("prediction"), F.lit(1.0))
+    return both.select("sample_id", close.alias("adds_up"))
 
 
 @query("global_importance")
@@ -115,9 +190,18 @@ def grouped_importance(spark, sf):
     return explain.grouped_importance(contributions_of(spark, sf))
 
 
-@query("local_top10")
+@query("local_top10", f"{SAMPLED} SELECT sample_id, CAST(10 AS BIGINT) AS n_shown, true AS strongest FROM sampled")
 def local_top10(spark, sf):
-    return explain.local_top(contributions_of(spark, sf))
+    """Ten contributions of every sampled row; no other one of the row is stronger."""
+    contribs = settle(contributions_of(spark, sf))
+    shown = explain.local_top(contribs).groupBy("sample_id").agg(
+        F.count("*").alias("n_shown"), F.min(F.abs("contribution")).alias("_least"), F.collect_set("feature").alias("_names")
+    )
+    rest = contribs.join(shown, "sample_id").filter(~F.array_contains("_names", F.col("feature")))
+    beaten = rest.groupBy("sample_id").agg(F.max(F.abs("contribution")).alias("_next"))
+    return shown.join(beaten, "sample_id", "left").select(
+        "sample_id", "n_shown", (F.col("_least") >= F.coalesce("_next", F.lit(0.0))).alias("strongest")
+    )
 
 
 @query(
@@ -147,13 +231,59 @@ def page_json(spark, sf):
     ).filter("n_rows > 0")
 
 
-@query("overview_page")
+def read_back(document: DataFrame) -> DataFrame:
+    """A document of one row, written as JSON text and read again by its own schema."""
+    schema = document.schema.simpleString()
+    text = document.select(F.to_json(F.struct(*document.columns)).alias("body"))
+    return text.select(F.from_json("body", schema).alias("d")).select("d.*")
+
+
+@query(
+    "overview_page",
+    f"""{OVERVIEW_SQL}
+SELECT supermarket, portfolio_size, round(own_brand_pct, 6) AS own_brand_pct, own_brand_count, branded_count,
+       round(min_price, 6) AS min_price, round(price_p25, 6) AS price_p25, round(price_median, 6) AS price_median,
+       round(price_p75, 6) AS price_p75, round(max_price, 6) AS max_price FROM overview""",
+)
 def overview_page(spark, sf):
-    return artifacts.overview_document(warehouse.market_overview(fact_of(spark, sf), dim_of(spark, sf)))
+    """The retailers of the overview page, taken from its JSON text."""
+    page = artifacts.overview_document(warehouse.market_overview(fact_of(spark, sf), dim_of(spark, sf)))
+    return rounded(read_back(page).select(F.explode("supermarkets").alias("s")).select("s.*"))
 
 
-@query("dynamics_page")
+@query(
+    "dynamics_page",
+    f"""WITH {PANEL}, {MONTHLY}, {DISPERSION.replace("FROM panel", "FROM monthly")}, {leadership_sql(3, 0.15)},
+kept AS (SELECT * FROM leadership WHERE median_lag_days <> 0),
+fast AS (SELECT * FROM kept ORDER BY abs(median_lag_days), leader, follower LIMIT 1)
+SELECT (SELECT count(*) FROM dispersion) AS n_days, (SELECT round(sum(dispersion), 4) FROM dispersion) AS dispersion_sum,
+       (SELECT CAST(min(date) AS VARCHAR) FROM dispersion) AS first_day,
+       (SELECT round(max_by(dispersion, date), 6) FROM dispersion) AS latest_dispersion,
+       (SELECT round(avg(dispersion), 6) FROM dispersion) AS avg_dispersion, (SELECT count(*) FROM kept) AS n_pairs,
+       (SELECT sum(median_lag_days) FROM kept) AS lag_sum,
+       (SELECT CAST(sum(n_products_analyzed) AS BIGINT) FROM kept) AS n_products,
+       (SELECT leader FROM kept GROUP BY leader ORDER BY count(*) DESC, leader LIMIT 1) AS top_leader,
+       (SELECT leader || ' ' || follower || ' ' || CAST(median_lag_days AS VARCHAR) FROM fast) AS fastest""",
+)
 def dynamics_page(spark, sf):
-    panel = monthly_brand_panel(spark, sf)
+    """Sums and summaries of the dynamics page, taken from its JSON text."""
+    panel = settle(monthly_brand_panel(spark, sf))
     pairs = leadership.price_leadership(panel, max_lag=3)
-    return artifacts.dynamics_document(market.dispersion(panel), pairs)
+    page = read_back(artifacts.dynamics_document(market.dispersion(panel), pairs))
+    fast = F.col("fastest_follower")
+
+    def total(rows: str, column: str, start) -> F.Column:
+        return F.aggregate(rows, F.lit(start), lambda a, r: a + r[column].cast("double" if isinstance(start, float) else "int"))
+
+    return page.select(
+        F.size("dispersion").cast("long").alias("n_days"),
+        F.round(total("dispersion", "dispersion", 0.0), 4).alias("dispersion_sum"),
+        F.col("dispersion")[0]["date"].alias("first_day"),
+        F.round("latest_dispersion", 6).alias("latest_dispersion"),
+        F.round("avg_dispersion", 6).alias("avg_dispersion"),
+        F.size("leadership").cast("long").alias("n_pairs"),
+        total("leadership", "median_lag_days", 0.0).alias("lag_sum"),
+        total("leadership", "n_products_analyzed", 0).cast("long").alias("n_products"),
+        "top_leader",
+        F.concat_ws(" ", fast["leader"], fast["follower"], fast["median_lag_days"].cast("string")).alias("fastest"),
+    )
