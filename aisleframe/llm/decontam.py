@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisleframe.llm.common import fresh, settle
+from aisleframe.llm.common import document_key, flagged, fresh, key_map, settle, stored, without
 
 MASKS = ("11101011", "1011000111", "110010001001")
 #: Items of fewer words than this have shapes of their own.
@@ -159,18 +159,20 @@ def overlaps(
         wanted[r["word"]] = r["bits"] & (2**64 - 1)
     wanted = wanted.astype("<u8").view(np.uint8)
 
-    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text)).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    hits = keyed.select("key", "text").mapInArrow(_scan(short, wanted, False), "key long, hash long, place int")
+    keyed = docs.select(document_key(id_col, text).alias("key"), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    hits = keyed.select("key", "text").mapInArrow(_scan(short, wanted, False), "key struct<a:bigint,b:bigint>, hash long, place int")
     starts = settle(
         hits.join(item_seeds.select(F.col("key").alias("item_key"), "hash", F.col("place").alias("item_place")), "hash")
         .select("key", "item_key", (F.col("place") - F.col("item_place")).alias("shift"))
         .distinct()
     )
-    asked = starts.join(items.select(F.col("key").alias("item_key"), "item", "item_text"), "item_key")
-    per_doc = asked.groupBy("key").agg(
-        F.collect_set(F.struct("item", "item_text", "shift")).alias("asked")
-    )
-    found = keyed.dropDuplicates(["key"]).join(per_doc, "key").select("id", "text", "asked")
+    # The shifts of one item come as a list beside its text, which is there once.
+    shifts = starts.groupBy("key", "item_key").agg(F.sort_array(F.collect_set("shift")).alias("shifts"))
+    asked = shifts.join(items.select(F.col("key").alias("item_key"), "item", "item_text"), "item_key")
+    per_doc = asked.groupBy("key").agg(F.collect_list(F.struct("item", "item_text", "shifts")).alias("asked"))
+    # Only documents with a hit, and a few that share a bit with one, are dealt out with their texts.
+    suspects = flagged(keyed, F.col("key")["a"], key_map(starts, F.col("key")["a"]), "_may").filter("_may")
+    found = suspects.drop("_may").join(per_doc, "key").dropDuplicates(["key"]).select("id", "text", "asked")
     id_kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,12 +184,13 @@ def overlaps(
                     t = a["item_text"]
                     if t not in known:
                         known[t] = word_hashes(t)
-                    item, shift = known[t], a["shift"]
-                    lo, hi = max(0, -shift), min(len(item), len(words) - shift)
-                    same = (item[lo:hi] == words[lo + shift : hi + shift]).astype(np.float64)
-                    n = best_stretch(same, identity)
-                    if n and n >= min(min_words, len(item)):
-                        best[a["item"]] = max(n, best.get(a["item"], 0))
+                    item = known[t]
+                    for shift in a["shifts"]:
+                        lo, hi = max(0, -shift), min(len(item), len(words) - shift)
+                        same = (item[lo:hi] == words[lo + shift : hi + shift]).astype(np.float64)
+                        n = best_stretch(same, identity)
+                        if n and n >= min(min_words, len(item)):
+                            best[a["item"]] = max(n, best.get(a["item"], 0))
                 rows += [(doc_id, i, n) for i, n in best.items()]
             yield pd.DataFrame(rows, columns=["id", "item", "overlap_words"])
 
@@ -198,8 +201,8 @@ def overlaps(
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The documents that overlap no item, in the columns of the input."""
     key = fresh(docs, "_key")
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text)))
+    keyed = docs.withColumn(key, document_key(id_col, text))
     # One frame per distinct document: its key is its id here, so null ids need no special case.
     plain = keyed.select(F.col(key).alias("doc_key"), F.col(text).alias("body"))
     bad = overlaps(plain, benchmark, "doc_key", "body", **settings).select(F.col("doc_key").alias(key)).distinct()
-    return keyed.join(bad, key, "left_anti").select(*docs.columns)
+    return without(keyed, key, stored(bad, "contaminated")).select(*docs.columns)

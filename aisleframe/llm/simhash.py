@@ -21,14 +21,14 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aisleframe.llm.common import fresh, settle, stored
+from aisleframe.llm.common import Scratch, document_key, flagged, fresh, key_map, settle, stored, without
 from aisleframe.operators.similarity import connected_components
 
 #: Partition values with more fingerprints than this are linked through mid-points.
@@ -308,7 +308,8 @@ def _set_rows(docs: DataFrame, key: str, text: str, words: int, schema: str, row
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
 
-    return docs.select(key, text).mapInArrow(run, f"id long, {schema}")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"id {kind}, {schema}")
 
 
 def _set_name(shingles: np.ndarray) -> tuple[int, int]:
@@ -349,77 +350,88 @@ def shingle_sketch(docs: DataFrame, text: str, words: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def near_links(texts: DataFrame, similarity: float, words: int, sketch: np.ndarray) -> DataFrame:
-    """(id, component) of all texts (id, text) in the graph of the pairs whose shingle sets have
-    a Jaccard similarity of ``similarity`` or more, as far as they have a partner; ids are distinct.
+HEAD = "h1 long, h2 long, size long, parity array<long>, first array<long>"
 
-    Candidates are exact: in any common order of all shingles, two such sets
+
+def set_heads(docs: DataFrame, key: str, text: str, similarity: float, words: int, sketch: np.ndarray) -> DataFrame:
+    """(id, name of the shingle set, its size, its parity, the shingles it meets others by) of every document.
+
+    In any common order of all shingles, two sets of that Jaccard similarity
     share one of their first ``n - ceil(similarity * n) + 1`` shingles. The
-    order is the rare ones first, by ``sketch``. Of the texts with such a value
-    the first ones lead; all others of another component are compared with
-    them, components are joined, and the next leaders, more each time, follow
-    until each value's texts are in one component or have all been compared.
+    order is the rare ones first, by ``sketch``.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(sketch)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def head(shingles: np.ndarray):
         n = len(shingles)
         order = np.lexsort((shingles, shared.value[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-        first = order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
-        return n, _parity(shingles), shingles[first].view(np.int64).tolist()
+        first = order[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else order
+        return *_set_name(shingles), n, _parity(shingles), shingles[first].view(np.int64).tolist()
 
-    prints = stored(
-        _set_rows(texts, "id", "text", words, "size long, parity array<long>, first array<long>", head).filter("size > 0"), "prints"
-    )
+    return _set_rows(docs, key, text, words, HEAD, head)
+
+
+def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(id, component) of all sets in the graph of the pairs with a Jaccard similarity of ``similarity``
+    or more, as far as they have a partner.
+
+    ``prints`` has the heads of the sets by distinct ids; ``sets_of`` gives the
+    whole sets (id, shingles) of the ids in a table. Candidates are exact (see
+    ``set_heads``). Of the texts with such a value the first ones lead; all
+    others of another component are compared with them, components are joined,
+    and the next leaders, more each time, follow until each value's texts are
+    in one component or have all been compared. The tables of a round go with it.
+    """
     by_value = Window.partitionBy("value").orderBy("pos", "id")
-    index = prints.select("id", "size", F.posexplode("first").alias("pos", "value"))
-    index = index.withColumn("rank", F.row_number().over(by_value)).withColumn("_next", F.lead("id").over(by_value))
-    todo = stored(index.filter("rank > 1 OR _next IS NOT NULL").drop("_next").withColumn("comp", F.col("id")), "index")
-    links: DataFrame | None = None
-    joined: DataFrame | None = None
-    done, take = 0, 1
-    while todo.limit(1).count():
-        heads = todo.filter(F.col("rank") <= done + take).select("value", *[F.col(c).alias(f"to_{c}") for c in ("id", "size", "pos", "rank", "comp")])
-        # What two sets share at most when this is their first common shingle, and what they must share.
-        most = F.least(F.col("size") - F.col("pos"), F.col("to_size") - F.col("to_pos"))
-        least = similarity / (1 + similarity) * (F.col("size") + F.col("to_size")) - 1e-6
-        met = (
-            todo.join(heads.hint("merge"), "value")
-            .filter((F.col("rank") > F.col("to_rank")) & (F.col("comp") != F.col("to_comp")) & (most >= least))
-            .select(F.greatest("id", "to_id").alias("id"), F.least("id", "to_id").alias("to"))
-            .distinct()
-        )
-        differing = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        for key, bits, n in (("id", "a", "n"), ("to", "b", "m")):
-            met = met.join(prints.select(F.col("id").alias(key), F.col("parity").alias(bits), F.col("size").alias(n)), key)
-        differ_most = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
-        near = stored(met.filter(differing <= differ_most).select("id", "to"), "near")
-        if near.limit(1).count():
-            involved = stored(near.select("id").unionByName(near.select(F.col("to").alias("id"))).distinct(), "involved")
-            sets = stored(
-                _set_rows(texts.join(involved, "id", "left_semi"), "id", "text", words, "shingles array<long>", lambda s: (s.view(np.int64),)), "sets"
-            )
-            both = F.size(F.array_intersect("a", "b"))
-            found = stored(
-                near.join(sets.select("id", F.col("shingles").alias("a")), "id")
-                .join(sets.select(F.col("id").alias("to"), F.col("shingles").alias("b")), "to")
-                .filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9)
-                .select(F.col("id").alias("src"), F.col("to").alias("dst")),
-                "found",
+    with Scratch(prints.sparkSession) as keep:
+        index = prints.select("id", "size", F.posexplode("first").alias("pos", "value"))
+        index = index.withColumn("rank", F.row_number().over(by_value)).withColumn("_next", F.lead("id").over(by_value))
+        todo = keep(index.filter("rank > 1 OR _next IS NOT NULL").drop("_next").withColumn("comp", F.col("id")), "index")
+        links: DataFrame | None = None
+        joined: DataFrame | None = None
+        done, take = 0, 1
+        while todo.limit(1).count():
+            heads = todo.filter(F.col("rank") <= done + take).select("value", *[F.col(c).alias(f"to_{c}") for c in ("id", "size", "pos", "rank", "comp")])
+            # What two sets share at most when this is their first common shingle, and what they must share.
+            most = F.least(F.col("size") - F.col("pos"), F.col("to_size") - F.col("to_pos"))
+            least = similarity / (1 + similarity) * (F.col("size") + F.col("to_size")) - 1e-6
+            met = (
+                todo.join(heads.hint("merge"), "value")
+                .filter((F.col("rank") > F.col("to_rank")) & (F.col("comp") != F.col("to_comp")) & (most >= least))
+                .select(F.greatest("id", "to_id").alias("id"), F.least("id", "to_id").alias("to"))
+                .distinct()
             )
-            links = found if links is None else links.unionByName(found)
-            joined = stored(connected_components(links), "components")
-        done, take = done + take, take * 32
-        # Who has led has met all it can meet in that value.
-        rest = todo.filter(F.col("rank") > done)
-        if joined is not None:
-            known = joined.select("id", F.col("component").alias("_comp"))
-            rest = rest.join(known, "id", "left").withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp")
-        open_values = rest.groupBy("value").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high")
-        todo = stored(rest.join(open_values.select("value"), "value", "left_semi").select(*todo.columns), "index")
-    if joined is None:
-        return texts.sparkSession.createDataFrame([], "id long, component long")
-    return joined
+            differing = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+            for key, bits, n in (("id", "a", "n"), ("to", "b", "m")):
+                met = met.join(prints.select(F.col("id").alias(key), F.col("parity").alias(bits), F.col("size").alias(n)), key)
+            differ_most = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
+            near = keep(met.filter(differing <= differ_most).select("id", "to"), "near")
+            if near.limit(1).count():
+                involved = keep(near.select("id").unionByName(near.select(F.col("to").alias("id"))).distinct(), "involved")
+                sets = keep(sets_of(involved), "sets")
+                both = F.size(F.array_intersect("a", "b"))
+                found = keep(
+                    near.join(sets.select("id", F.col("shingles").alias("a")), "id")
+                    .join(sets.select(F.col("id").alias("to"), F.col("shingles").alias("b")), "to")
+                    .filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9)
+                    .select(F.col("id").alias("src"), F.col("to").alias("dst")),
+                    "found",
+                )
+                links = found if links is None else links.unionByName(found)
+                before, joined = joined, keep(connected_components(links), "components")
+                keep.drop(before, involved, sets)
+            done, take = done + take, take * 32
+            # Who has led has met all it can meet in that value.
+            rest = todo.filter(F.col("rank") > done)
+            if joined is not None:
+                known = joined.select("id", F.col("component").alias("_comp"))
+                rest = rest.join(known, "id", "left").withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp")
+            open_values = rest.groupBy("value").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high")
+            before, todo = todo, keep(rest.join(open_values.select("value"), "value", "left_semi").select(*todo.columns), "index")
+            keep.drop(before, near)
+        if joined is None:
+            return prints.sparkSession.createDataFrame([], "id long, component long")
+        return stored(joined, "components")
 
 
 def one_of_each_group(
@@ -433,21 +445,34 @@ def one_of_each_group(
     stays (null ids last). Documents that repeat in id and text stay or go
     together. Texts of one shingle set are one text, texts without a word too.
     """
-    doc = fresh(docs, "_doc")
-    keyed = docs.withColumn(doc, F.xxhash64(F.col(id_col), F.col(text)))
-    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(doc).alias("doc"))
-    names = _set_rows(keyed, doc, text, words, "h1 long, h2 long", _set_name).withColumnRenamed("id", doc)
-    body = keyed.select(doc, F.col(text).alias("text")).dropDuplicates([doc])
-    ids = keyed.select(F.col(doc), place.alias("place")).dropDuplicates([doc])
-    same = names.join(ids, doc).groupBy("h1", "h2").agg(F.min("place").alias("place")).select("place")
-    # Numbers that rise with the place stand for the texts from here on.
-    same = stored(
-        same.repartitionByRange("place")
-        .sortWithinPartitions("place")
-        .select(F.monotonically_increasing_id().alias("id"), F.col("place.doc").alias(doc)),
-        "texts",
-    )
-    texts = body.join(same, doc).select("id", "text")
-    joined = near_links(texts, similarity, words, shingle_sketch(docs, text, words))
-    kept = same.join(joined.filter("id <> component").select("id"), "id", "left_anti")
-    return keyed.join(kept.select(doc), doc, "left_semi").select(*docs.columns)
+    doc, place = fresh(docs, "_doc"), fresh(docs, "_place")
+    keyed = docs.withColumn(doc, document_key(id_col, text))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(doc).alias("doc"))
+    placed = keyed.select(order.alias(place), F.col(text).alias("text"))
+    with Scratch(docs.sparkSession) as keep:
+        # Two passes hash the texts: one to count shingles, one for all that is told of a set.
+        sketch = shingle_sketch(docs, text, words)
+        heads = keep(set_heads(placed, place, "text", similarity, words, sketch).withColumnRenamed("id", "place"), "heads")
+        # Numbers that rise with the place stand for the distinct sets from here on.
+        same = heads.groupBy("h1", "h2").agg(F.min("place").alias("place")).select("place")
+        same = keep(
+            same.repartitionByRange("place")
+            .sortWithinPartitions("place")
+            .select(F.monotonically_increasing_id().alias("id"), "place"),
+            "texts",
+        )
+        prints = heads.filter("size > 0").join(same, "place").select("id", "size", "parity", "first").dropDuplicates(["id"])
+        prints = keep(prints, "prints")
+
+        def sets_of(ids: DataFrame) -> DataFrame:
+            """Whole sets of some texts; the others are left where they lie."""
+            wanted = same.join(ids, "id").select("id", F.col("place.doc").alias(doc))
+            bits = key_map(wanted, F.col(doc)["a"])
+            rows = flagged(keyed.select(doc, F.col(text).alias("text")), F.col(doc)["a"], bits, "_may").filter("_may")
+            found = _set_rows(rows, doc, "text", words, "shingles array<long>", lambda s: (s.view(np.int64),))
+            return found.withColumnRenamed("id", doc).join(wanted, doc).select("id", "shingles").dropDuplicates(["id"])
+
+        joined = near_links(prints, sets_of, similarity)
+        kept = same.join(joined.filter("id <> component").select("id"), "id", "left_anti").select("place")
+        gone = stored(heads.select("place").join(kept, "place", "left_anti").select(F.col("place.doc").alias(doc)).distinct(), "gone")
+    return without(keyed, doc, gone).select(*docs.columns)
