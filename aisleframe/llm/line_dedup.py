@@ -15,8 +15,8 @@ different line. That test is exact and keeps the neighbourhoods small.
 
 "Earlier" is by (id, place of the line in its text), null ids last; documents
 that differ under one id are ordered by a hash of the text. Lines without a word are never
-touched. Lines below ``min_near`` characters are only compared for equality,
-as one edit makes a different word of them. Nulls: a null text stays null and
+touched. Lines below ``min_near`` characters are only compared for equality:
+one edit is more than a fifth of them and makes a different line. Nulls: a null text stays null and
 has no lines. Rows that repeat (same id and text) count as one document and get
 equal results. An empty table gives an empty one; other columns are carried.
 """
@@ -30,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisleframe.llm.common import fresh, stored
+from aisleframe.llm.common import Scratch, document_key, flagged, fresh, key_map, stored
 
 P1, P2 = 2_147_483_647, 2_147_483_629
 B1, B2 = 1_000_003, 777_767_777
 WORD = r"[^\x20\x09-\x0D]"
+#: Fewest characters of a line that can be near another one.
+MIN_NEAR = 5
 
 
 def powers(base: int, mod: int, n: int) -> np.ndarray:
@@ -93,15 +95,15 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, rows = [], 0
 
 
-def dropped_lines(docs: DataFrame, id_col: str, text: str, min_near: int = 20) -> DataFrame:
-    """(doc, at, near): the lines to remove; ``doc`` is the hash of id and text.
+def dropped_lines(docs: DataFrame, id_col: str, text: str, min_near: int = MIN_NEAR) -> DataFrame:
+    """(doc, at, n_near): the places of the lines to remove, in order, and how many of them go for a near line.
 
-    ``near`` tells whether the line's text goes for an earlier near line; else
-    an equal line came earlier.
+    ``doc`` is the key of id and text. A line whose text goes for an earlier
+    near line counts as near; else an equal line came earlier.
     """
     lines = docs.select(
         F.col(id_col).alias("id"),
-        F.xxhash64(F.col(id_col), F.col(text)).alias("doc"),
+        document_key(id_col, text).alias("doc"),
         F.posexplode(F.split(text, "\n")).alias("at", "line"),
     ).filter(F.col("line").rlike(WORD))
     # Two hashes name a line; its place orders it among all lines.
@@ -119,83 +121,94 @@ def dropped_lines(docs: DataFrame, id_col: str, text: str, min_near: int = 20) -
             ]
         ),
     )
-    first = stored(
-        named.withColumns({"place": place, "halves": halves})
-        .groupBy("h1", "h2")
-        .agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves")),
-        "lines",
-    )
-    half = first.filter("halves IS NOT NULL").select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
-    able = half.join(shared, "half").select("h1", "h2").distinct()
-    able = stored(able.join(first.select("h1", "h2", "place"), ["h1", "h2"]), "able")
-    candidates = (
-        named.join(able, ["h1", "h2"])
-        .filter((F.col("doc") == F.col("place.doc")) & (F.col("at") == F.col("place.at")))
-        .dropDuplicates(["h1", "h2"])
-    )
-    # Numbers that rise with the place stand for the lines from here on.
-    numbered = stored(
-        candidates.select("place", "line")
-        .repartitionByRange("place")
-        .sortWithinPartitions("place")
-        .select(F.monotonically_increasing_id().alias("no"), "place", "line"),
-        "near",
-    )
-    emitted = stored(numbered.select("no", "line").mapInArrow(_emit, "no long, key long, spot int"), "deletions")
-    ends = emitted.groupBy("key").agg(
-        F.count("*").alias("n"),
-        F.min(F.when(F.col("spot") < 0, F.col("no"))).alias("whole"),
-        F.min(F.when(F.col("spot") >= 0, F.col("no"))).alias("longer"),
-    )
-    met = stored(emitted.join(ends.filter("n > 1"), "key").select("no", "key", "spot", "whole", "longer"), "met")
-    # Replaced character: all members of (key, spot) are near the earliest of them.
-    swaps = met.filter("spot >= 0").groupBy("key", "spot").agg(F.min("no").alias("to"), F.count("*").alias("n"))
-    by_swap = met.join(swaps.filter("n > 1").drop("n"), ["key", "spot"]).filter("no > to").select("no", "to")
-    # Missing character: the line itself against all that become it by a deletion.
-    to_whole = met.filter("spot >= 0 AND no > whole").select("no", F.col("whole").alias("to"))
-    to_longer = met.filter("spot < 0 AND no > longer").select("no", F.col("longer").alias("to"))
-    links = by_swap.unionByName(to_whole).unionByName(to_longer).distinct()
-    gone = (
-        links.join(numbered.select("no", "place", F.col("line").alias("a")), "no")
-        .join(numbered.select(F.col("no").alias("to"), F.col("line").alias("b")), "to")
-        .filter(F.levenshtein("a", "b", 1).between(0, 1))
-        .select("place")
-        .distinct()
-        .withColumn("near", F.lit(True))
-    )
-    marked = first.join(gone, "place", "left").filter((F.col("n") > 1) | F.col("near"))
-    marked = marked.select("h1", "h2", "place", F.coalesce("near", F.lit(False)).alias("near"))
-    return (
-        named.select("doc", "at", "h1", "h2")
-        .join(marked, ["h1", "h2"])
-        .filter(F.col("near") | (F.col("doc") != F.col("place.doc")) | (F.col("at") != F.col("place.at")))
-        .select("doc", "at", "near")
-    )
-
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_near: int = 20) -> DataFrame:
+    def spot(doc, at):
+        return F.xxhash64(doc["a"], doc["b"], at)
+
+    with Scratch(docs.sparkSession) as keep:
+        first = keep(
+            named.withColumns({"place": place, "halves": halves})
+            .groupBy("h1", "h2")
+            .agg(F.min("place").alias("place"), F.count("*").alias("n"), F.first("halves").alias("halves")),
+            "lines",
+        )
+        half = first.filter("halves IS NOT NULL").select("h1", "h2", F.explode(F.array_distinct("halves")).alias("half"))
+        shared = half.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
+        able = half.join(shared, "half").select("h1", "h2").distinct()
+        able = keep(able.join(first.select("h1", "h2", "place"), ["h1", "h2"]), "able")
+        # The text of a line is fetched at its first place only; all other lines stay where they are.
+        bits = key_map(able, spot(F.col("place.doc"), F.col("place.at")))
+        at_first = flagged(named, spot(F.col("doc"), F.col("at")), bits, "may").filter("may").drop("may")
+        candidates = (
+            at_first.join(able, ["h1", "h2"])
+            .filter((F.col("doc") == F.col("place.doc")) & (F.col("at") == F.col("place.at")))
+            .dropDuplicates(["h1", "h2"])
+        )
+        # Numbers that rise with the place stand for the lines from here on.
+        numbered = keep(
+            candidates.select("place", "line")
+            .repartitionByRange("place")
+            .sortWithinPartitions("place")
+            .select(F.monotonically_increasing_id().alias("no"), "place", "line"),
+            "near",
+        )
+        keep.drop(able)
+        emitted = keep(numbered.select("no", "line").mapInArrow(_emit, "no long, key long, spot int"), "deletions")
+        ends = emitted.groupBy("key").agg(
+            F.count("*").alias("n"),
+            F.min(F.when(F.col("spot") < 0, F.col("no"))).alias("whole"),
+            F.min(F.when(F.col("spot") >= 0, F.col("no"))).alias("longer"),
+        )
+        met = keep(emitted.join(ends.filter("n > 1"), "key").select("no", "key", "spot", "whole", "longer"), "met")
+        keep.drop(emitted)
+        # Replaced character: all members of (key, spot) are near the earliest of them.
+        swaps = met.filter("spot >= 0").groupBy("key", "spot").agg(F.min("no").alias("to"), F.count("*").alias("n"))
+        by_swap = met.join(swaps.filter("n > 1").drop("n"), ["key", "spot"]).filter("no > to").select("no", "to")
+        # Missing character: the line itself against all that become it by a deletion.
+        to_whole = met.filter("spot >= 0 AND no > whole").select("no", F.col("whole").alias("to"))
+        to_longer = met.filter("spot < 0 AND no > longer").select("no", F.col("longer").alias("to"))
+        links = by_swap.unionByName(to_whole).unionByName(to_longer).distinct()
+        gone = (
+            links.join(numbered.select("no", "place", F.col("line").alias("a")), "no")
+            .join(numbered.select(F.col("no").alias("to"), F.col("line").alias("b")), "to")
+            .filter(F.levenshtein("a", "b", 1).between(0, 1))
+            .select("place")
+            .distinct()
+            .withColumn("near", F.lit(True))
+        )
+        marked = first.join(gone, "place", "left").filter((F.col("n") > 1) | F.col("near"))
+        marked = keep(marked.select("h1", "h2", "place", F.coalesce("near", F.lit(False)).alias("near")), "marked")
+        # Lines that are there once and near none take no part in the last join.
+        some = flagged(named.select("doc", "at", "h1", "h2"), F.col("h1"), key_map(marked, F.col("h1")), "may").filter("may")
+        removed = (
+            some.join(marked, ["h1", "h2"])
+            .filter(F.col("near") | (F.col("doc") != F.col("place.doc")) | (F.col("at") != F.col("place.at")))
+            .select("doc", "at", "near")
+        )
+        # Repeats of a document give the same (doc, at) more than once.
+        return stored(
+            removed.groupBy("doc").agg(
+                F.array_sort(F.collect_set("at")).alias("at"), F.size(F.collect_set(F.when(F.col("near"), F.col("at")))).alias("n_near")
+            ),
+            "removed",
+        )
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
     """The input with the kept lines as its text, and ``n_lines``, ``n_removed``,
     ``n_near`` (long): its lines with a word, those removed, those of them that
     went for a near line. Columns of these names are replaced."""
     made = ["n_lines", "n_removed", "n_near"]
     base = docs.drop(*[c for c in docs.columns if c.lower() in made and c not in (id_col, text)])
-    doc, at, gone = fresh(base, "_doc"), fresh(base, "_at"), fresh(base, "_gone")
-    # Repeats of a document give the same (doc, at) more than once.
-    removed = stored(
-        dropped_lines(docs, id_col, text, min_near)
-        .groupBy(F.col("doc").alias(doc))
-        .agg(
-            F.collect_set("at").alias(at),
-            F.size(F.collect_set(F.when(F.col("near"), F.col("at")))).alias(gone),
-        ),
-        "removed",
-    )
+    doc, at, gone, may = (fresh(base, name) for name in ("_doc", "_at", "_gone", "_may"))
+    removed = dropped_lines(docs, id_col, text, min_near).withColumnsRenamed({"doc": doc, "at": at, "n_near": gone})
+    told = flagged(base.withColumn(doc, document_key(id_col, text)), F.col(doc)["a"], key_map(removed, F.col(doc)["a"]), may)
+    # Documents that lose no line are not dealt out for the join.
+    nothing = {at: F.lit(None).cast("array<int>"), gone: F.lit(None).cast("int")}
+    joined = told.filter(may).join(removed, doc, "left").unionByName(told.filter(~F.col(may)).withColumns(nothing))
     parts = F.split(text, "\n")
     # A map looks up by scanning, so the flags are an array by place.
-    flags = F.array_sort(at)
-    joined = base.withColumn(doc, F.xxhash64(F.col(id_col), F.col(text))).join(removed, doc, "left")
-    kept = F.when(F.col(at).isNull(), F.col(text)).otherwise(_without(parts, flags))
+    kept = F.when(F.col(at).isNull(), F.col(text)).otherwise(_without(parts, F.col(at)))
     count = F.size(F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda x: x.rlike(WORD)))
     out = joined.withColumns(
         {
