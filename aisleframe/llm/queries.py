@@ -127,7 +127,7 @@ f AS (SELECT line, min(CAST(doc_id AS HUGEINT) * 1000000000 + nr) AS pos FROM w
 k AS (
   SELECT line, pos, unnest(['l', 'l', 'r', 'r']) AS side, unnest([n, n - 1, n, n - 1]) AS m,
          unnest(["left"(line, n // 2), "left"(line, (n - 1) // 2), "right"(line, n // 2), "right"(line, (n - 1) // 2)]) AS half
-  FROM (SELECT line, pos, length(line) AS n FROM f) WHERE n >= 20),
+  FROM (SELECT line, pos, length(line) AS n FROM f) WHERE n >= 5),
 near AS (
   SELECT DISTINCT a.line FROM k a JOIN k b ON a.side = b.side AND a.m = b.m AND a.half = b.half AND b.pos < a.pos
   WHERE abs(length(a.line) - length(b.line)) <= 1

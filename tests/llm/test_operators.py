@@ -398,3 +398,88 @@ def test_pipeline_stages(spark, sf):
     ]
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 50 and {"doc_id", "text", "copies"} <= set(out.columns)
+
+
+def test_mixing_with_awkward_columns_and_ids(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    made = ["size", "source_size", "target", "copies", "taken"]
+    plain = collections.Counter(tuple(r) for r in mixing.mix(docs).select("doc_id", *made).collect())
+    names = ["words", "_n", "_rate", "_extra", "_lots", "_mine", "_key", "_told", "_none", "_name", "_size", "_m", "SIZE", "_nr"]
+    got = mixing.mix(docs.selectExpr("*", *[f"1 AS {n}" for n in names]))
+    assert set(names) - {"SIZE"} <= set(got.columns)
+    assert collections.Counter(tuple(r) for r in got.select("doc_id", *made).collect()) == plain
+    # Null and repeated ids and rows: every row is a document, and the sources still meet their targets.
+    odd = docs.selectExpr("CAST(NULL AS LONG) AS doc_id", "text", "source").unionByName(docs.select("doc_id", "text", "source").limit(1))
+    for _ in range(5):
+        odd = odd.unionByName(docs.select("doc_id", "text", "source").limit(1))
+    rows = mixing.mix(odd).collect()
+    assert len(rows) == odd.count()
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert 0 <= r.taken <= 3 * r.size
+        by[r.source].append(r)
+    assert all(abs(sum(r.taken for r in x) - x[0].target) <= 0.03 * x[0].target + 50 for x in by.values())
+
+
+def test_newton_steps_solve_every_source(spark):
+    rng = np.random.default_rng(4)
+    cells, goals = [], []
+    for k in range(12):
+        sizes = rng.choice(np.arange(1, 900), 40, replace=False)
+        counts = rng.integers(1, 30, 40)
+        cells += [(False, f"s{k}", int(s), int(n)) for s, n in zip(sizes, counts)]
+        words = int((sizes * counts).sum())
+        goals.append((False, f"s{k}", words, words * [0.01, 0.3, 1.0, 1.7, 2.9, 3.0][k % 6]))
+    cells.append((True, "", 0, 3))
+    goals.append((True, "", 0, 0.0))
+    c = spark.createDataFrame(cells, "_none boolean, _name string, _size long, _n long")
+    g = spark.createDataFrame(goals, "_none boolean, _name string, words long, target double")
+    for r in mixing.solve(c, g, 3).collect():
+        if r["_none"]:
+            continue
+        mine = [(s, n) for _, name, s, n in cells if name == r["_name"]]
+        got = sum(s * n * min(3.0, np.exp(min(r.multiplier * s / r["mean"], 700.0))) for s, n in mine)
+        assert got == pytest.approx(r.target, rel=1e-8)
+
+
+def near_by_definition(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) <= 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def test_near_lines_equal_brute_force(spark):
+    rng = np.random.default_rng(7)
+    base = ["Read more", "short line", "abcde", "Share this page with friends", "a line of nineteen!", "Back to the top of the page"]
+    texts = []
+    for k in range(80):
+        lines = []
+        for _ in range(rng.integers(0, 7)):
+            line = list(base[rng.integers(len(base))])
+            for _ in range(rng.integers(0, 3)):
+                at = rng.integers(len(line) + 1)
+                kind = rng.integers(3)
+                line[at : at + (kind > 0)] = [] if kind == 1 else [chr(97 + rng.integers(3))]
+            lines.append("".join(line))
+        texts.append((k, "\n".join(lines)))
+    want, seen = {}, []
+    for k, t in texts:
+        kept, near = [], 0
+        for line in t.split("\n"):
+            if not words(line):
+                kept.append(line)
+                continue
+            close = len(line) >= 5 and any(len(x) >= 5 and x != line and near_by_definition(x, line) for x in seen)
+            if close or line in seen:
+                near += bool(close)
+            else:
+                kept.append(line)
+            seen.append(line)
+        want[k] = ("\n".join(kept), near)
+    # A line's verdict is that of its first place: lines near an earlier one go wherever they stand.
+    got = {r.doc_id: (r.text, r.n_near) for r in line_dedup.dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert sum(v[1] for v in got.values()) > 20
