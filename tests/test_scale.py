@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from aisleframe.functions import quantiles
 from aisleframe.functions.ranking import with_rank
 from aisleframe.operators import artifacts, encoding, leadership, market, warehouse
 from aisleframe.panel import monthly_brand_panel
@@ -121,3 +122,38 @@ def test_ranks_over_many_partitions(spark):
         assert [got[r[1]] for r in order] == list(range(1, len(order) + 1))
     assert [whole[r[1]] for r in sorted(rows, key=lambda r: (-r[2], r[1]))] == list(range(1, 3001))
     assert with_rank(df.limit(0), [F.col("k")]).count() == 0
+
+
+# Quantiles
+
+
+@pytest.mark.parametrize("sorted_rows", [100_000, 40])
+def test_quantiles_when_one_band_holds_nearly_all(spark, monkeypatch, sorted_rows):
+    """90 % of a group in one band, all distinct; ties; a group of one; no task sorts more than SORTED_ROWS rows."""
+    rng = np.random.default_rng(9)
+    groups = {
+        "crowded": np.concatenate([1000 + rng.random(1800) * 0.4, rng.normal(0, 500, 200)]),
+        "tied": np.repeat([3.0, 3.5, -2.0], [500, 400, 300]),
+        "signed": rng.normal(0, 1e-3, 700),
+        "one": np.array([7.25]),
+    }
+    monkeypatch.setattr(quantiles, "SORTED_ROWS", sorted_rows)
+    sorted_at_once = []
+    plain = quantiles._inside
+
+    def watch(keyed, targets, group):
+        sorted_at_once.append(targets.filter("_hi > _lo").agg(F.max("_in_band")).first()[0] or 0)
+        return plain(keyed, targets, group)
+
+    monkeypatch.setattr(quantiles, "_inside", watch)
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    probs = {"lo": 0.0, "a": 0.01, "q": 0.25, "m": 0.5, "x": 0.937, "hi": 1.0}
+    got = {r.g: r for r in quantiles.exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(np.quantile(x, p), abs=1e-12)
+    assert sorted_at_once[-1] <= sorted_rows and (len(sorted_at_once) > 1) == (sorted_rows == 40)
+    whole = quantiles.exact_quantiles(df, [], "v", {"m": 0.5}).first().m
+    assert whole == pytest.approx(np.quantile(np.concatenate(list(groups.values())), 0.5), abs=1e-12)
