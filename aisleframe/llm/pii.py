@@ -8,8 +8,15 @@ pseudonyms in all documents, different values different ones, and with the key
 the value comes back. Check digits are computed anew, so a pseudonym is valid.
 Anything that does not validate is left as it is.
 
-Nulls: a null text stays null with zero counts; a null id is carried; repeated
-rows get equal results; an empty table gives an empty one.
+Telephone numbers are taken in any grouping: international ones with 8 to 15
+digits, national ones of ten digits or with a leading zero. Dates with slashes
+are read month first, and day first where that is no date; either kind is
+permuted within itself, so what comes back is what was there. Addresses of the
+long kind (IPv6) keep their groups; one in mixed case is left as it is.
+
+Nulls: a null text stays null with zero counts and an empty one stays empty; a
+null id is carried; repeated rows get equal results; an empty table gives an
+empty one. Whole texts are searched, in memory in proportion to the longest.
 """
 
 from __future__ import annotations
@@ -17,9 +24,12 @@ from __future__ import annotations
 import calendar
 import datetime as dt
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,6 +106,7 @@ def _iban(s: str, key: bytes, back: bool) -> str | None:
     if rest(plain) != 1:
         return None
     body = permute_text(plain[4:], key, "iban" + plain[:2], back)
+    # int(c, 36) makes no difference between cases, and every letter keeps its own.
     new = iter(plain[:2] + f"{98 - rest(plain[:2] + '00' + body):02d}" + body)
     return "".join(c if c == " " else next(new) for c in s)
 
@@ -108,12 +119,37 @@ def _ip(s: str, key: bytes, back: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _ip6(s: str, key: bytes, back: bool) -> str | None:
+    """The hexadecimal digits permuted in place; an address with letters keeps having some, in their case."""
+    digits = s.replace(":", "")
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return None
+    if not digits or (digits != digits.lower() and digits != digits.upper()):
+        return None
+    lettered = not digits.isdigit()
+    x, n = int(digits, 16), 16 ** len(digits)
+    while True:
+        x = permute(x, n, key, "ip6" + re.sub("[^:]", "x", s), back)
+        new = f"{x:0{len(digits)}x}"
+        if new.isdigit() != lettered:
+            break
+    fill = iter(new.upper() if lettered and digits == digits.upper() else new)
+    return "".join(c if c == ":" else next(fill) for c in s)
+
+
 def _phone(s: str, key: bytes, back: bool) -> str | None:
-    # The country code stays; all other digits are permuted together.
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", s)
+    # The country code, or a leading zero, stays; all other digits are permuted together.
+    head = re.match(r"\+\d{1,3}(?=[ .(/-])|\(?0(?=\d)", s)
     cut = head.end() if head else 0
     d = re.sub(r"\D", "", s[cut:])
-    return s[:cut] + _refill(s[cut:], str(permute(int(d), 10 ** len(d), key, f"phone{s[:cut]}", back)).zfill(len(d)))
+    x, n = int(d), 10 ** len(d)
+    while True:
+        x = permute(x, n, key, f"phone{s[:cut]}", back)
+        # Without a code in front, a leading zero would be read as one.
+        if cut or s[0] == "+" or x >= n // 10:
+            return s[:cut] + _refill(s[cut:], str(x).zfill(len(d)))
 
 
 def _ssn(s: str, key: bytes, back: bool) -> str | None:
@@ -140,6 +176,25 @@ def _date(order: str, mark: str) -> Callable[[str, bytes, bool], str | None]:
     return run
 
 
+@lru_cache(maxsize=1)
+def _late_days() -> list[int]:
+    """The days after the twelfth of a month, as numbers from FIRST_DAY: day first, they cannot be read month first."""
+    return [k for k in range((LAST_DAY - FIRST_DAY).days + 1) if (FIRST_DAY + dt.timedelta(k)).day > 12]
+
+
+def _slash_date(s: str, key: bytes, back: bool) -> str | None:
+    first = _date("mdy", "/")(s, key, back)
+    if first is not None:
+        return first
+    d, m, y = (int(p) for p in s.split("/"))
+    if not (FIRST_DAY.year <= y <= LAST_DAY.year and 1 <= m <= 12 and 12 < d <= calendar.monthrange(y, m)[1]):
+        return None
+    late = _late_days()
+    at = bisect_left(late, (dt.date(y, m, d) - FIRST_DAY).days)
+    new = FIRST_DAY + dt.timedelta(late[permute(at, len(late), key, "day first", back)])
+    return f"{new.day:02d}/{new.month:02d}/{new.year:04d}"
+
+
 def _email(s: str, key: bytes, back: bool) -> str | None:
     stem, dot, end = s.rpartition(".")
     return permute_text(stem, key, "email", back) + dot + end
@@ -156,13 +211,16 @@ RULES: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
     ("email", r"(?<![\w.+-])(?P<v>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})", _email),
     ("secret", r"(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b)\s*[=:]\s*[\"']?(?P<v>[A-Za-z0-9_/+-]{8,})", _secret),
     ("iban", r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b", _iban),
-    ("phone", r"(?<![\w.])(?P<v>(?:\+\d{1,3}[ .-]?)\(?\d{2,4}\)?[ .-]?\d{3}[ .-]?\d{4})(?!\d)", _phone),
-    ("phone", r"(?<![\w.+-])(?P<v>(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?![\w-])", _phone),
+    ("iban", r"\b(?P<v>[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?)\b", _iban),
+    ("phone", r"(?<![\w.])(?P<v>\+\d(?:[ .()/-]{0,2}\d){7,14})(?!\d)", _phone),
+    ("phone", r"(?<![\w.+-])(?P<v>(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?![\w-])", _phone),
     ("ssn", r"(?<![\w-])(?P<v>\d{3}-\d{2}-\d{4})(?![\w-])", _ssn),
     ("date", r"(?<![\w-])(?P<v>\d{4}-\d{2}-\d{2})(?![\d-])", _date("ymd", "-")),
-    ("date", r"(?<![\w/])(?P<v>\d{2}/\d{2}/\d{4})(?![\d/])", _date("mdy", "/")),
+    ("date", r"(?<![\w/])(?P<v>\d{2}/\d{2}/\d{4})(?![\d/])", _slash_date),
     ("date", r"(?<![\w.])(?P<v>\d{2}\.\d{2}\.\d{4})(?![\d])", _date("dmy", ".")),
     ("ip", r"(?<![\w.])(?P<v>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)", _ip),
+    ("ip", r"(?<![\w:.])(?P<v>(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{3,39})(?![\w:.])", _ip6),
+    ("phone", r"(?<![\w.+/-])(?P<v>(?:\(0\d{1,4}\) ?|0\d{1,4}[ -])\d{2,4}(?:[ -]?\d{2,4}){1,3})(?![\w/-])", _phone),
     ("card", r"(?<![\w.-])(?P<v>\d(?:[ -]?\d){12,18})(?![\w]|-\d)", _card),
 ]
 KINDS = ["email", "secret", "iban", "phone", "ssn", "date", "ip", "card"]
