@@ -48,15 +48,17 @@ def temporal_features(
     lags: list[int] = LAGS,
     include_current: bool = False,
     series: list[str] = LISTING,
+    ties: list[str] | None = None,
 ) -> DataFrame:
     """Rolling statistics, lags, last known move and gap, from earlier rows only.
 
-    Expects one row per series and day. All frames share one partitioning and
+    Expects one row per series and day; where there are more, ``ties`` names
+    the columns that order them. All frames share one partitioning and
     one order, so the plan has a single exchange, sort and window.
     ``include_current`` gives the legacy frames that end at the row itself;
     those leak the price being predicted and exist for comparison only.
     """
-    past = Window.partitionBy(*series).orderBy("date")
+    past = Window.partitionBy(*series).orderBy("date", *(ties or []))
     price = F.col("prices")
     cols = {}
     for w in windows:

@@ -76,14 +76,14 @@ def lag_features(spark, sf):
     """SELECT event_id, user_id, lag(value, 1) OVER w AS price_lag_1d, lag(value, 7) OVER w AS price_lag_7d,
        round(lag(value, 1) OVER w - lag(value, 2) OVER w, 4) AS price_diff_1d,
        CAST(CAST(ts AS DATE) - lag(CAST(ts AS DATE), 1) OVER w AS DOUBLE) AS days_since_last_obs
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)""",
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
 )
 def event_gaps(spark, sf):
     """The same lag operator on another stream of observations, one series per user."""
     ev = load(spark, sf, "events").select(
         "event_id", "user_id", F.col("ts").alias("date"), F.col("value").alias("prices")
     )
-    out = features.temporal_features(ev, [], [1, 7], series=["user_id"])
+    out = features.temporal_features(ev, [], [1, 7], series=["user_id"], ties=["event_id"])
     return rounded(out.drop("date", "prices"), 4, ["price_diff_1d"])
 
 

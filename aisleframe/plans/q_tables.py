@@ -360,7 +360,7 @@ FROM fact WHERE canonical_name = {FIRST_PRODUCT}""",
 )
 def product_history(spark, sf):
     fact = fact_of(spark, sf)
-    name = load(spark, sf, "part").agg(F.min("p_name")).first()[0]
+    name = load(spark, sf, "part").agg(F.min("p_name")).scalar()
     return rounded(warehouse.history_chart(warehouse.product_history(fact, name)), 8, ["avg_price"])
 
 
@@ -391,7 +391,7 @@ SELECT date, supermarket, round(avg_price, 8) AS avg_price, max_price - min_pric
 UNION ALL SELECT date + 1, supermarket, NULL, NULL, round(avg_price, 8) FROM last_day""",
 )
 def history_with_forecast(spark, sf):
-    name = load(spark, sf, "part").agg(F.min("p_name")).first()[0]
+    name = load(spark, sf, "part").agg(F.min("p_name")).scalar()
     mine = warehouse.product_history(fact_of(spark, sf), name)
     naive = mine.groupBy("supermarket").agg(
         F.date_add(F.max("date"), 1).alias("date"), F.max_by("avg_price", "date").alias("predicted_price")
@@ -411,7 +411,7 @@ SELECT supermarket, round(predicted_price, 6) AS predicted_price, round(last_pri
 )
 def forecast_delta(spark, sf):
     """The long-run mean as the forecast, against the last price."""
-    name = load(spark, sf, "part").agg(F.min("p_name")).first()[0]
+    name = load(spark, sf, "part").agg(F.min("p_name")).scalar()
     mine = warehouse.product_history(fact_of(spark, sf), name)
     mean = mine.groupBy("supermarket").agg(F.avg("avg_price").alias("predicted_price"))
     return rounded(warehouse.forecast_delta(mine, mean))

@@ -84,8 +84,8 @@ def test_whole_flow(spark, layout, tmp_path):
     assert stages.run_features(spark, layout).rows_out == 181
     assert stages.run_marts(spark, layout)["dim_product"].rows_out == 4
     stages.run_market(spark, layout)
-    stages.run_training(spark, layout, TreeParams(n_trees=3, depth=2, min_rows_per_leaf=2), n_boot=20)
-    stages.run_contributions(spark, layout, n_samples=5, n_orders=2)
+    stages.run_training(spark, layout, TreeParams(n_trees=3, n_leaves=4, min_rows_per_leaf=2), n_boot=20)
+    stages.run_contributions(spark, layout, n_samples=5)
     stages.run_anomalies(spark, layout)
     assert spark.read.parquet(layout.table("anomalies")).count() == 181
 
@@ -103,7 +103,11 @@ def test_whole_flow(spark, layout, tmp_path):
     assert spark.read.parquet(layout.table("web/predictor_context")).count() == 7
 
     reports = records.read_run_reports(spark, layout.reports)
-    assert {"ingestion", "product_matching", "feature_engineering"} <= {r.stage for r in reports.collect()}
+    stages_told = {r.stage for r in reports.collect()}
+    assert {"ingestion", "product_matching", "feature_engineering", "training", "contributions", "anomalies"} <= stages_told
+    assert {"hhi_index", "market_dispersion", "price_leadership"} <= stages_told
+    told = reports.filter("stage = 'training'").first()
+    assert told.rows_out == told.n_train_rows + told.n_test_rows <= told.rows_in and told.n_trees >= 1
     assert reports.filter("stage = 'ingestion'").first().row_delta == -2
 
 
