@@ -3,7 +3,9 @@
 A payload is stored once, under its SHA-256; the exact header of every record
 is kept in a table of its own. A record is put together again by joining the
 two. Of records with equal payloads one is the response, the others are
-revisits that name it.
+revisits that name it. A record's block is an HTTP response: a fixed head, and
+behind it the payload, which a revisit leaves out. Line breaks in a value are
+percent-encoded, so a header line stays one.
 
 Nulls: a null payload is an empty one; a null id or address gives an empty
 header value. Equal rows are one header row with a number of copies; of those
@@ -19,6 +21,9 @@ from pyspark.sql import functions as F
 from aisleframe.llm.common import shared_folder
 
 CRLF = "\r\n"
+#: Fixed values of the format.
+IDENTICAL_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP_HEAD = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 HEX32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -30,27 +35,38 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), HEX32, BASE32)
 
 
-def header_of(page_id: Column, url: Column, kind: Column, refers_to: Column, digest: Column, n: Column) -> Column:
+def utc_now() -> Column:
+    """The time of the query, in the form of WARC-Date; one value for all its rows."""
+    return F.expr("date_format(to_utc_timestamp(current_timestamp(), current_timezone()), \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")
+
+
+def header_of(page_id: Column, url: Column, kind: Column, refers_to: Column, digest: Column, n: Column, date: Column) -> Column:
     """The bytes of a record's header, with the empty line that ends it."""
 
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
 
     def plain(value: Column) -> Column:
-        return F.coalesce(F.regexp_replace(value.cast("string"), r"[\r\n]", " "), F.lit(""))
+        one_line = F.replace(F.replace(value.cast("string"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+        return F.coalesce(one_line, F.lit(""))
 
     return F.encode(
         F.concat(
             F.lit(f"WARC/1.1{CRLF}"),
             line("WARC-Type", kind),
             line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), plain(page_id), F.lit(">"))),
+            line("WARC-Date", date),
             line("WARC-Target-URI", plain(url)),
             line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
             F.when(
-                kind == "revisit", line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), plain(refers_to), F.lit(">")))
+                kind == "revisit",
+                F.concat(
+                    line("WARC-Profile", F.lit(IDENTICAL_PAYLOAD)),
+                    line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), plain(refers_to), F.lit(">"))),
+                ),
             ).otherwise(""),
-            line("Content-Type", F.lit("text/html; charset=utf-8")),
-            line("Content-Length", F.when(kind == "revisit", F.lit(0)).otherwise(n).cast("string")),
+            line("Content-Type", F.lit("application/http; msgtype=response")),
+            line("Content-Length", (F.when(kind == "revisit", F.lit(0)).otherwise(n) + len(HTTP_HEAD)).cast("string")),
             F.lit(CRLF),
         ),
         "UTF-8",
@@ -89,7 +105,7 @@ def write_archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0) ->
             "content_id",
             F.when(F.col("record_type") == "revisit", F.col("owner.page_id")).alias("refers_to"),
             header_of(
-                F.col("page_id"), F.col("url"), F.col("record_type"), F.col("owner.page_id"), F.col("digest"), F.col("n")
+                F.col("page_id"), F.col("url"), F.col("record_type"), F.col("owner.page_id"), F.col("digest"), F.col("n"), utc_now()
             ).alias("header"),
         )
         .write.parquet(f"{folder}/headers")
@@ -119,7 +135,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
         F.regexp_extract(text, r"\r\nWARC-Payload-Digest: sha1:([A-Z2-7]+)\r\n", 1).alias("_digest"),
         F.regexp_extract(text, r"\r\nContent-Length: (\d+)\r\n", 1).cast("long").alias("_length"),
     )
-    length = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    length = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes")) + len(HTTP_HEAD)
     sound = F.col("_sound") & (F.col("_digest") == F.col("payload_digest")) & (F.col("_length") == length)
     # A left join: a header without its payload must be seen, not lost.
     return heads.join(stored, "content_id", "left").select(
@@ -138,7 +154,8 @@ def restore(spark: SparkSession, folder: str) -> DataFrame:
     heads = spark.read.parquet(f"{folder}/headers")
     stored = spark.read.parquet(f"{folder}/payloads")
     revisit = F.decode("header", "UTF-8").contains(f"{CRLF}WARC-Type: revisit{CRLF}")
-    body = F.when(~revisit, F.col("payload")).otherwise(F.encode(F.lit(""), "UTF-8"))
+    head = F.encode(F.lit(HTTP_HEAD), "UTF-8")
+    body = F.when(~revisit, F.concat(head, F.col("payload"))).otherwise(head)
     end = F.encode(F.lit(CRLF * 2), "UTF-8")
     return heads.join(stored, "content_id", "left").select("page_id", F.concat("header", body, end).alias("record"))
 

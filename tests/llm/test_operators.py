@@ -58,6 +58,20 @@ def test_warc_round_trip(spark):
     warc.write_archive(df, folder)
     records = [bytes(r.record) for r in warc.restore(spark, folder).collect()]
     assert sum(r.endswith(b"\r\n\r\n<a>\r\n\r\n") for r in records) == 1 and len(records) == 6
+    wanted = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "Content-Type", "Content-Length"}
+    for r in records:
+        top, _, rest = r.partition(b"\r\n\r\n")
+        first, *lines = top.decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        more = {"WARC-Profile", "WARC-Refers-To"} if fields["WARC-Type"] == "revisit" else set()
+        assert first == "WARC/1.1" and set(fields) == wanted | more
+        assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"])
+        block = rest.removesuffix(b"\r\n\r\n")
+        assert len(block) == int(fields["Content-Length"]) and len(rest) == len(block) + 4
+        http, _, payload = block.partition(b"\r\n\r\n")
+        assert http.startswith(b"HTTP/1.1 200 OK\r\n") and (not payload or fields["WARC-Type"] == "response")
+    broken = spark.createDataFrame([(7, "a\r\nWARC-Type: x", "y")], "page_id long, url string, html string")
+    assert warc.archive(broken).first().record_type == "response"
     assert warc.archive(df.limit(0)).count() == 0
 
 
