@@ -67,16 +67,33 @@ def _top_k(q_ids, q, t_ids, t, k: int, min_sim: float):
     return [np.concatenate(parts) for parts in zip(*out)]
 
 
+def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, angle) of the pivot nearest to each unit row."""
+    angles = _angles(x @ pivots.T)
+    home = angles.argmin(axis=1)
+    return home, angles[np.arange(len(x)), home]
+
+
+def _outside(angles: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """How far a row surely is from everything in a cell: angles to the pivot against those of the cell's own rows."""
+    return np.maximum(angles - high, low - angles)
+
+
 def nearest_distinct(
     distinct: DataFrame, k: int, min_sim: float, seed: int = 42, chunk_rows: int | None = None
 ) -> DataFrame:
     """(rep, nb, sim): the ``k`` nearest others of each distinct vector, by cosine.
 
-    Vectors live in the cell of their nearest pivot, large cells in several
-    chunks. A first pass inside the own chunk bounds how far the k-th
-    neighbour can be; by the triangle inequality on angles a vector then only
-    visits cells that can hold something closer. Blocks emit at most ``k``
-    rows per visitor, never all pairs.
+    Pivots make cells, and a cell of more than ``chunk_rows`` vectors is cut
+    around pivots of its own into leaves, each with the range of its angles;
+    only leaves that are still larger are dealt out by hash. A first pass inside
+    a vector's own chunk bounds how far its k-th neighbour can be. By the
+    triangle inequality on angles it then visits only cells, and in them only
+    leaves, that can hold something closer, and chunks are sent only where a
+    visitor waits. Blocks emit at most ``k`` rows per visitor, never all pairs.
+    The pivots, one for ``chunk_rows`` vectors and up to MAX_PIVOTS more, are
+    what the driver holds. Vectors without structure visit every chunk: that is
+    the cost of an exact search among them.
     """
     spark = distinct.sparkSession
     size = distinct.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dims")).first()
@@ -90,43 +107,58 @@ def nearest_distinct(
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            angles = _angles(_unit_rows(pdf["vec"]) @ pivots.T)
-            home = angles.argmin(axis=1)
-            yield pd.DataFrame(
-                {
-                    "rep": pdf["rep"],
-                    "vec": pdf["vec"],
-                    "cell": home,
-                    "angle": angles[np.arange(len(pdf)), home],
-                    "angles": list(angles),
-                }
-            )
+            if len(pdf):
+                home, angle = _nearest(_unit_rows(pdf["vec"]), pivots)
+                yield pd.DataFrame({"rep": pdf["rep"], "vec": pdf["vec"], "cell": home, "angle": angle})
 
     placed = settle(
-        distinct.select("rep", "vec").mapInPandas(
-            assign, f"rep {id_type}, vec {vec_type}, cell int, angle double, angles array<double>"
-        )
+        distinct.select("rep", "vec").mapInPandas(assign, f"rep {id_type}, vec {vec_type}, cell int, angle double")
     )
     # At most MAX_PIVOTS rows.
     cells = {
         r["cell"]: r
         for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi")).collect()
     }
-    n_chunks = {c: -(-r["n"] // chunk_rows) for c, r in cells.items()}
-    first_chunk, total = {}, 0
+    inner = _inner_pivots(placed, {c: -(-r["n"] // chunk_rows) for c, r in cells.items()}, seed)
+    first_leaf, total_leaves = {}, 0
     for c in sorted(cells):
-        first_chunk[c] = total
-        total += n_chunks[c]
-    salt = F.pmod(F.xxhash64("rep"), F.element_at(F.create_map(*[F.lit(x) for p in n_chunks.items() for x in p]), F.col("cell")))
-    base = F.element_at(F.create_map(*[F.lit(x) for p in first_chunk.items() for x in p]), F.col("cell"))
-    placed = placed.withColumn("chunk", (base + salt).cast("int"))
+        first_leaf[c] = total_leaves
+        total_leaves += len(inner.get(c, [0]))
+
+    def settle_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            leaf = pdf["cell"].map(first_leaf).to_numpy(np.int64).copy()
+            own = pdf["angle"].to_numpy().copy()
+            for c in set(pdf["cell"]) & set(inner):
+                rows = np.nonzero((pdf["cell"] == c).to_numpy())[0]
+                home, angle = _nearest(_unit_rows(pdf["vec"].iloc[rows]), inner[c])
+                leaf[rows] += home
+                own[rows] = angle
+            yield pd.DataFrame({"rep": pdf["rep"], "vec": pdf["vec"], "leaf": leaf, "own": own})
+
+    placed = settle(placed.mapInPandas(settle_in, f"rep {id_type}, vec {vec_type}, leaf int, own double"))
+    # A row a leaf.
+    leaves = {
+        r["leaf"]: r
+        for r in placed.groupBy("leaf").agg(F.count("*").alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).collect()
+    }
+    chunks_of, total = {}, 0
+    for leaf in sorted(leaves):
+        chunks_of[leaf] = np.arange(total, total + -(-leaves[leaf]["n"] // chunk_rows))
+        total += len(chunks_of[leaf])
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            mine = [chunks_of[leaf] for leaf in pdf["leaf"]]
+            chunk = [c[h % len(c)] for c, h in zip(mine, pdf["h"])]
+            yield pd.DataFrame({"rep": pdf["rep"], "vec": pdf["vec"], "chunk": chunk})
+
+    placed = placed.withColumn("h", F.xxhash64("rep")).mapInPandas(number, f"rep {id_type}, vec {vec_type}, chunk int")
 
     cell_ids = np.array(sorted(cells))
-    lows = np.array([cells[c]["lo"] for c in cell_ids])
-    highs = np.array([cells[c]["hi"] for c in cell_ids])
-    chunk_lists = [np.arange(first_chunk[c], first_chunk[c] + n_chunks[c]) for c in cell_ids]
+    lows, highs = (np.array([cells[c][x] for c in cell_ids]) for x in ("lo", "hi"))
 
     def plan_visits(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
@@ -139,21 +171,31 @@ def nearest_distinct(
                 sims[rows, lo + rows] = -np.inf
                 kth = np.partition(sims, -k, axis=1)[:, -k]
                 radius[lo : lo + 1024] = np.minimum(radius[lo : lo + 1024], _angles(kth))
-        to_pivot = _matrix(pdf["angles"])[:, cell_ids]
-        closest = np.maximum(to_pivot - highs, lows - to_pivot)
-        reachable = closest <= radius[:, None] + SLACK
-        visits = [np.concatenate([chunk_lists[j] for j in np.nonzero(row)[0]]) for row in reachable]
-        return pd.DataFrame({"rep": pdf["rep"], "vec": pdf["vec"], "visits": visits})
+        radius += SLACK
+        near = _outside(_angles(x @ pivots[cell_ids].T), lows, highs) <= radius[:, None]
+        visits: list[list[np.ndarray]] = [[] for _ in range(len(pdf))]
+        for j, c in enumerate(cell_ids):
+            rows = np.nonzero(near[:, j])[0]
+            mine = [k for k in range(first_leaf[c], first_leaf[c] + len(inner.get(c, [0]))) if k in leaves]
+            if c in inner and len(rows):
+                low, high = (np.array([leaves[k][x] for k in mine]) for x in ("lo", "hi"))
+                centre = inner[c][[k - first_leaf[c] for k in mine]]
+                open_ = _outside(_angles(x[rows] @ centre.T), low, high) <= radius[rows, None]
+            else:
+                open_ = np.ones((len(rows), len(mine)), bool)
+            for r, m in zip(*np.nonzero(open_)):
+                visits[rows[r]].append(chunks_of[mine[m]])
+        return pd.DataFrame({"rep": pdf["rep"], "vec": pdf["vec"], "visits": [np.concatenate(v) if v else np.empty(0, int) for v in visits]})
 
     splits = int(max(1, -(-n // chunk_rows)))
-    asks = (
+    asks = settle(
         placed.groupBy("chunk")
         .applyInPandas(plan_visits, f"rep {id_type}, vec {vec_type}, visits array<int>")
         .select("rep", "vec", F.explode("visits").alias("chunk"), F.pmod(F.xxhash64("rep", F.lit(7)), F.lit(splits)).alias("split"))
     )
-    targets = placed.select(
-        "rep", "vec", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(splits - 1).cast("long"))).alias("split")
-    )
+    # A chunk goes to the splits that hold a visitor of it.
+    waiting = asks.select(F.col("chunk").alias("_to"), F.col("split").alias("part")).distinct()
+    targets = placed.join(waiting, F.col("chunk") == F.col("_to")).select("rep", "vec", "chunk", "part")
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
@@ -165,12 +207,25 @@ def nearest_distinct(
 
     found = (
         asks.groupBy("chunk", "split")
-        .cogroup(targets.groupBy("chunk", "split"))
+        .cogroup(targets.groupBy("chunk", "part"))
         .applyInPandas(block, f"rep {id_type}, nb {id_type}, sim double")
     )
     return first_k_per_group(found, ["rep"], [F.col("sim").desc(), F.col("nb").asc()], k)
 
 
+def _inner_pivots(placed: DataFrame, wanted: dict[int, int], seed: int) -> dict[int, np.ndarray]:
+    """Unit vectors drawn by hash in each cell that needs more than one chunk, as many as it needs."""
+    large = {c: m for c, m in wanted.items() if m > 1}
+    if not large:
+        return {}
+    mine = placed.filter(F.col("cell").isin(list(large))).withColumn("_h", F.xxhash64(F.lit(seed), "rep"))
+    drawn = first_k_per_group(mine, ["cell"], [F.col("_h").asc(), F.col("rep").asc()], max(large.values()))
+    out: dict[int, list] = {}
+    for r in drawn.select("cell", "vec").collect():
+        out.setdefault(r["cell"], []).append(r["vec"])
+    return {c: _unit_rows(pd.Series(v[: large[c]])) for c, v in out.items()}
+
+
 def nearest_neighbours(
     vectors: DataFrame,
     k: int,

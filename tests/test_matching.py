@@ -135,3 +135,33 @@ def test_trigram_vectors_are_unit_length(spark):
     out = matching.ngram_vectors(spark.createDataFrame([("red apples",), ("green pears",), ("",)], "normalised_name string"))
     for r in out.collect():
         assert np.linalg.norm(r.embedding) == pytest.approx(1.0, abs=1e-3) or r.normalised_name == ""
+
+
+def test_visits_grow_slower_than_all_pairs_on_clustered_vectors(spark, monkeypatch):
+    """Four times the vectors, four times the clusters: far less than sixteen times the pairs are visited."""
+    plain, asked = similarity.settle, []
+
+    def watch(df):
+        out = plain(df)
+        if "split" in df.columns:
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "settle", watch)
+    monkeypatch.setattr(similarity, "MAX_PIVOTS", 8)
+    rng = np.random.default_rng(5)
+    visited = []
+    for clusters in (40, 160):
+        centres = rng.normal(size=(clusters, 16))
+        x = np.repeat(centres, 25, axis=0) + rng.normal(scale=0.03, size=(clusters * 25, 16))
+        near = similarity.nearest_neighbours(vectors(spark, list(range(len(x))), x), 3, chunk_rows=50)
+        got = {(r.src, r["rank"]): r.dst for r in near.collect()}
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        sims = unit @ unit.T
+        np.fill_diagonal(sims, -np.inf)
+        best = np.argsort(-sims, axis=1, kind="stable")[:, :3]
+        assert all(got[i, j + 1] == best[i, j] for i in range(len(x)) for j in range(3))
+        visited.append(asked[-1] * 50)
+    n = 40 * 25
+    assert visited[0] < 0.6 * n * n and visited[1] < 0.35 * (4 * n) ** 2
+    assert visited[1] < 4**1.7 * visited[0]
