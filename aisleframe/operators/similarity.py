@@ -138,12 +138,15 @@ def nearest_distinct(
                 own[rows] = angle
             yield pd.DataFrame({"rep": pdf["rep"], "vec": pdf["vec"], "leaf": leaf, "own": own})
 
-    placed = settle(placed.mapInPandas(settle_in, f"rep {id_type}, vec {vec_type}, leaf int, own double"))
-    # A row a leaf.
-    leaves = {
-        r["leaf"]: r
-        for r in placed.groupBy("leaf").agg(F.count("*").alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi")).collect()
-    }
+    with_leaf = placed.mapInPandas(settle_in, f"rep {id_type}, vec {vec_type}, leaf int, own double")
+    if inner:
+        placed = settle(with_leaf)
+        # A row a leaf.
+        spans = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.min("own").alias("lo"), F.max("own").alias("hi"))
+        leaves = {r["leaf"]: r for r in spans.collect()}
+    else:
+        # Every cell is one leaf, and its figures are known.
+        placed, leaves = with_leaf, {first_leaf[c]: r for c, r in cells.items()}
     chunks_of, total = {}, 0
     for leaf in sorted(leaves):
         chunks_of[leaf] = np.arange(total, total + -(-leaves[leaf]["n"] // chunk_rows))
