@@ -8,15 +8,24 @@ else, in the same document or another one. Three steps:
    equal windows have equal anchors at equal offsets and equal ``length // 2``
    bytes behind them (the key). Only keys seen twice can hold repeats.
 2. Whole slices. An anchor's windows make one slice of text. A slice that is
-   there twice repeats whole; that is a count.
+   there twice, by a 128-bit BLAKE2b digest of its bytes, repeats whole; that is
+   a count.
 3. Suffix sort. What is left of a key, one of each different slice, is brought
    together. The suffixes that start at the same offset from the anchor are
    merge-sorted; two suffixes are compared by their common extension, found by
    binary search on prefix polynomial hashes. Neighbours in that order with a
    common extension of ``length`` repeat, which is verified byte by byte.
 
-A key with more than ``SORTED_TOGETHER`` different slices is not sorted in one
-task: its windows are counted by hash, with map-side sums, to the same result.
+Slices of a key that are more than one task should sort are cut finer first:
+windows whose offsets from the anchor lie in a shorter range share more bytes,
+and those make the key of smaller slices, which go through steps 2 and 3. A
+range of one offset has the whole window as its key, so that equal keys are
+equal slices: this ends after log2(length) rounds at most, without a key too
+large to sort. Keys only bring slices together, so their 64 bits decide nothing.
+
+Documents are told by 128 bits of id and text. Texts may be of any length; a
+task holds about 40 bytes per byte of the text it scans. Columns other than id
+and text are not returned, whatever their names.
 
 Nulls: a null text is empty. A null id is carried. Rows that repeat are
 documents of their own, so each of them repeats the other. An empty table gives
@@ -25,16 +34,18 @@ an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisleframe.llm.common import stored
+from aisleframe.llm.common import document_key, stored
 
-#: Different slices of one key that one task sorts.
+#: Different slices of one key that are sorted together; beyond that they are cut finer.
 SORTED_TOGETHER = 4_000
 #: Odd base of the polynomial hashes.
 BASE = 0x9E3779B97F4A7C15
@@ -42,6 +53,11 @@ BASE = 0x9E3779B97F4A7C15
 SORTED_BYTES = 1_000_000
 
 
+def _digest(data: bytes, ahead: int) -> bytes:
+    """What tells a slice: its bytes, and how far its first window is from the anchor."""
+    return hashlib.blake2b(data, digest_size=16, salt=ahead.to_bytes(8, "little")).digest()
+
+
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -78,21 +94,21 @@ def _scan(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in range(0, batch.num_rows, 500):
-                rows: list[list[np.ndarray]] = []
+                docs, keys, sigs, places = [], [], [], []
                 for doc, text in zip(batch.column(0)[part : part + 500].to_pylist(), batch.column(1)[part : part + 500].to_pylist()):
                     data = (text or "").encode("utf-8", "surrogatepass")
-                    at, lo, hi = anchors_of(data, length)
-                    if not len(at):
+                    found = anchors_of(data, length)
+                    if not len(found[0]):
                         continue
-                    spots = list(zip(at.tolist(), lo.tolist(), hi.tolist()))
-                    keys = [xxh64_intdigest(data[p : p + half]) for p, _, _ in spots]
-                    # A slice is told by its bytes and by where its anchor is.
-                    sigs = [xxh64_intdigest(data[a : b + length], 1 + p - a) for p, a, b in spots]
-                    rows.append([np.full(len(at), doc, np.int64), at, lo, hi, np.array(keys, np.uint64), np.array(sigs, np.uint64)])
-                if rows:
-                    cols = [np.concatenate(c) for c in zip(*rows)]
+                    for p, a, b in zip(*(c.tolist() for c in found)):
+                        docs.append(doc)
+                        keys.append(xxh64_intdigest(data[p : p + half]))
+                        sigs.append(_digest(data[a : b + length], p - a))
+                    places.append(found)
+                if docs:
+                    at, lo, hi = (pa.array(np.concatenate(c)) for c in zip(*places))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cols],
+                        [pa.array(docs, pa.binary()), at, lo, hi, pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sigs, pa.binary())],
                         names=["doc", "anchor", "lo", "hi", "key", "sig"],
                     )
 
@@ -181,7 +197,7 @@ def sort_runs(table: Prefixes, starts: np.ndarray, run: np.ndarray, most: int) -
     return order
 
 
-def repeats(slices: list[tuple[int, int, int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
+def repeats(slices: list[tuple[int, bytes, int, int, int, bytes]], length: int) -> list[tuple[bytes, int, int]]:
     """(doc, lo, hi) covered in single slices; slices are (key, doc, lo, offset, n, bytes), sorted by key."""
     data = np.frombuffer(b"".join(s[5] for s in slices), np.uint8)
     table = Prefixes(data)
@@ -229,21 +245,25 @@ def repeats(slices: list[tuple[int, int, int, int, int, bytes]], length: int) ->
     return found
 
 
-SLICES = "key long, doc long, lo long, offset long, n long, bytes binary"
+#: ``offset`` leads from ``lo`` to the anchor; ``n`` slices are equal to this one.
+SLICES = "key long, doc binary, lo long, offset long, n long, bytes binary"
+PIECES = SLICES + ", sig binary"
+ARROW = pa.schema(
+    [("key", pa.int64()), ("doc", pa.binary()), ("lo", pa.int64()), ("offset", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())]
+)
 
 
 def _cut(length: int):
     """(doc, text, asked) to the asked slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([(c, pa.binary() if c == "bytes" else pa.int64()) for c in ("key", "doc", "lo", "offset", "n", "bytes")])
         for batch in batches:
             for doc, text, asked in zip(*(c.to_pylist() for c in batch.columns)):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 rows = [
                     (a["key"], doc, a["lo"], a["anchor"] - a["lo"], a["n"], data[a["lo"] : a["hi"] + length]) for a in asked
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
 
     return run
 
@@ -253,7 +273,8 @@ def _sort(length: int):
 
     def out(found):
         cols = list(zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "lo", "hi"])
+        kinds = (pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -271,30 +292,36 @@ def _sort(length: int):
     return run
 
 
-def _windows(length: int):
-    """Slices to (doc, start, single, hash) of every window."""
+def _finer(length: int, size: int):
+    """Slices to their pieces, a piece for each range of ``size`` offsets from the anchor."""
     from xxhash import xxh64_intdigest
 
+    schema = ARROW.append(pa.field("sig", pa.binary()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, doc, lo, _, n, data in zip(*(c.to_pylist() for c in batch.columns)):
-                w = len(data) - length + 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(w, doc, np.int64)),
-                        pa.array(np.arange(lo, lo + w, dtype=np.int64)),
-                        pa.array(np.full(w, n == 1)),
-                        pa.array([_signed(xxh64_intdigest(data[i : i + length])) for i in range(w)], pa.int64()),
-                    ],
-                    names=["doc", "lo", "single", "hash"],
-                )
+            for part in range(0, batch.num_rows, 100):
+                rows = []
+                for _, doc, lo, offset, n, data in zip(*(c.to_pylist() for c in batch.slice(part, 100).columns)):
+                    least = offset - (len(data) - length)
+                    for low in range(least // size * size, offset + 1, size):
+                        first, last = min(offset, low + size - 1), max(least, low)
+                        # All windows with offsets low to low + size - 1 hold these bytes.
+                        common = data[offset - low : offset - (low + size - 1) + length]
+                        piece = data[offset - first : offset - last + length]
+                        key = _signed(xxh64_intdigest(common, low))
+                        rows.append((key, doc, lo + offset - first, first, n, piece, _digest(piece, first)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
+SPANS = "doc binary, lo long, hi long"
+
+
 def spans(keyed: DataFrame, length: int) -> DataFrame:
     """(doc, lo, hi): byte ranges of (doc, text) that repeats cover; they may overlap."""
-    found = keyed.mapInArrow(_scan(length), "doc long, anchor long, lo long, hi long, key long, sig long")
+    found = keyed.mapInArrow(_scan(length), "doc binary, anchor long, lo long, hi long, key long, sig binary")
     found = stored(found, "anchors")
     slices = stored(
         found.groupBy("key", "sig").agg(
@@ -302,8 +329,10 @@ def spans(keyed: DataFrame, length: int) -> DataFrame:
         ),
         "slices",
     )
-    whole = found.join(slices.filter("n > 1").select("key", "sig"), ["key", "sig"])
-    whole = whole.select("doc", "lo", (F.col("hi") + length).alias("hi"))
+    out = [
+        found.join(slices.filter("n > 1").select("key", "sig"), ["key", "sig"])
+        .select("doc", "lo", (F.col("hi") + length).alias("hi"))
+    ]
     mixed = slices.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     asked = (
         slices.join(mixed, "key")
@@ -313,22 +342,37 @@ def spans(keyed: DataFrame, length: int) -> DataFrame:
     )
     cut = keyed.dropDuplicates(["doc"]).join(asked, "doc").select("doc", "text", "asked").mapInArrow(_cut(length), SLICES)
     cut = stored(cut, "cut")
-    crowded = mixed.filter(F.col("kinds") > SORTED_TOGETHER).select("key")
-    sorted_ = (
-        cut.join(crowded, "key", "left_anti").select("key", "doc", "lo", "offset", "n", "bytes")
-        .repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), "doc long, lo long, hi long")
-    )
-    windows = cut.join(crowded, "key", "left_semi").select("key", "doc", "lo", "offset", "n", "bytes")
-    windows = windows.mapInArrow(_windows(length), "doc long, lo long, single boolean, hash long")
-    twice = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    counted = windows.join(twice, "hash").filter("single").select("doc", "lo", (F.col("lo") + length).alias("hi"))
-    return whole.unionByName(sorted_).unionByName(counted)
+    names = [f.name for f in ARROW]
+    size = length // 2
+    while True:
+        crowded = stored(mixed.filter(F.col("kinds") > SORTED_TOGETHER).select("key"), "crowded")
+        few = cut.join(crowded, "key", "left_anti").select(*names)
+        out.append(few.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), SPANS))
+        if size == 1 or crowded.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        size = (size + 1) // 2
+        pieces = cut.join(crowded, "key", "left_semi").select(*names).mapInArrow(_finer(length, size), PIECES)
+        pieces = stored(pieces, "pieces")
+        kinds = stored(
+            pieces.groupBy("key", "sig").agg(
+                F.count("*").alias("times"), F.sum("n").alias("alike"), F.min(F.struct("doc", "lo")).alias("at")
+            ),
+            "kinds",
+        )
+        again = pieces.join(kinds.filter("times > 1").select("key", "sig"), ["key", "sig"])
+        out.append(again.select("doc", "lo", (F.col("lo") + F.length("bytes")).alias("hi")))
+        mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+        first = kinds.join(mixed, "key").select("key", "sig", "alike", F.col("at.doc").alias("doc"), F.col("at.lo").alias("lo"))
+        cut = pieces.drop("n").join(first, ["key", "sig", "doc", "lo"]).withColumnRenamed("alike", "n").select(*names)
+        cut = stored(cut, "cut")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept): what is left of every text, as bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text)).alias("doc"), F.col(text).alias("text"))
+    key = document_key(id_col, text)
+    key = F.unhex(F.concat(*[F.lpad(F.hex(key[half]), 16, "0") for half in "ab"]))
+    base = docs.select(F.col(id_col).alias("id"), key.alias("doc"), F.col(text).alias("text"))
     merged = spans(base.select("doc", "text"), length).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

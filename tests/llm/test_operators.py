@@ -212,6 +212,25 @@ def test_suffix(docs, rows, none, length, limit, monkeypatch):
     assert suffix.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("limit", [2, 20, 4000])
+def test_suffix_crowded_keys_are_cut_finer(spark, limit, monkeypatch):
+    monkeypatch.setattr(suffix, "SORTED_TOGETHER", limit)
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    passage, length = word(110), 60
+    # One passage in many surroundings, whole or in part, so that many different slices share its keys.
+    texts = [word(int(rng.integers(90))) + passage[int(rng.integers(40)) : 70 + int(rng.integers(40))] + word(int(rng.integers(90))) for _ in range(90)]
+    texts += [texts[0], word(30) + texts[1][:80], "é" * 70, "é" * 35, passage[:59], ""]
+    seen = collections.Counter(b[k : k + length] for b in (t.encode() for t in texts) for k in range(len(b) - length + 1))
+    want = {}
+    for i, t in enumerate(texts):
+        b = t.encode()
+        gone = {k + x for k in range(len(b) - length + 1) if seen[b[k : k + length]] > 1 for x in range(length)}
+        want[i] = bytes(c for k, c in enumerate(b) if k not in gone)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r.doc_id: bytes(r.kept) for r in suffix.remove_repeats(docs, length).collect()} == want
+
+
 def test_pii_round_trip_and_links(docs, rows, none):
     key = b"0123456789abcdef"
     text = "Card 4111 1111 1111 1111, DE89 3704 0044 0532 0130 00, +1 (425) 555-9684, 2024-02-29 2024-02-30 10.0.0.1 999.1.1.1 a.b@c.org token = \"0a1b2c3d4e\" 078-05-1120 1234567890123456"
