@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aisleframe.llm.common import document_key, stored
+from aisleframe.llm.common import Scratch, document_key, stored
 
 #: Different slices of one key that are sorted together; beyond that they are cut finer.
 SORTED_TOGETHER = 4_000
@@ -319,11 +319,11 @@ def _finer(length: int, size: int):
 SPANS = "doc binary, lo long, hi long"
 
 
-def spans(keyed: DataFrame, length: int) -> DataFrame:
-    """(doc, lo, hi): byte ranges of (doc, text) that repeats cover; they may overlap."""
+def spans(keyed: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(doc, lo, hi): byte ranges of (doc, text) that repeats cover; they may overlap. Reads tables of ``scratch``."""
     found = keyed.mapInArrow(_scan(length), "doc binary, anchor long, lo long, hi long, key long, sig binary")
-    found = stored(found, "anchors")
-    slices = stored(
+    found = scratch(found, "anchors")
+    slices = scratch(
         found.groupBy("key", "sig").agg(
             F.count("*").alias("n"), F.min(F.struct("doc", "lo", "hi", "anchor")).alias("at")
         ),
@@ -341,19 +341,19 @@ def spans(keyed: DataFrame, length: int) -> DataFrame:
         .agg(F.collect_list("a").alias("asked"))
     )
     cut = keyed.dropDuplicates(["doc"]).join(asked, "doc").select("doc", "text", "asked").mapInArrow(_cut(length), SLICES)
-    cut = stored(cut, "cut")
+    cut = scratch(cut, "cut")
     names = [f.name for f in ARROW]
     size = length // 2
     while True:
-        crowded = stored(mixed.filter(F.col("kinds") > SORTED_TOGETHER).select("key"), "crowded")
+        crowded = scratch(mixed.filter(F.col("kinds") > SORTED_TOGETHER).select("key"), "crowded")
         few = cut.join(crowded, "key", "left_anti").select(*names)
         out.append(few.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(length), SPANS))
         if size == 1 or crowded.isEmpty():
             return reduce(DataFrame.unionByName, out)
         size = (size + 1) // 2
         pieces = cut.join(crowded, "key", "left_semi").select(*names).mapInArrow(_finer(length, size), PIECES)
-        pieces = stored(pieces, "pieces")
-        kinds = stored(
+        pieces = scratch(pieces, "pieces")
+        kinds = scratch(
             pieces.groupBy("key", "sig").agg(
                 F.count("*").alias("times"), F.sum("n").alias("alike"), F.min(F.struct("doc", "lo")).alias("at")
             ),
@@ -364,7 +364,7 @@ def spans(keyed: DataFrame, length: int) -> DataFrame:
         mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds")).filter("kinds > 1")
         first = kinds.join(mixed, "key").select("key", "sig", "alike", F.col("at.doc").alias("doc"), F.col("at.lo").alias("lo"))
         cut = pieces.drop("n").join(first, ["key", "sig", "doc", "lo"]).withColumnRenamed("alike", "n").select(*names)
-        cut = stored(cut, "cut")
+        cut = scratch(cut, "cut")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -373,7 +373,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     key = document_key(id_col, text)
     key = F.unhex(F.concat(*[F.lpad(F.hex(key[half]), 16, "0") for half in "ab"]))
     base = docs.select(F.col(id_col).alias("id"), key.alias("doc"), F.col(text).alias("text"))
-    merged = spans(base.select("doc", "text"), length).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    with Scratch(docs.sparkSession) as scratch:
+        merged = spans(base.select("doc", "text"), length, scratch)
+        merged = stored(merged.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
