@@ -14,6 +14,8 @@ log = logging.getLogger(__name__)
 
 RAW_COLUMNS = ["supermarket", "prices_(£)", "prices_unit_(£)", "unit", "names", "date", "category", "own_brand"]
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
+#: Files of one batch, whose names the driver holds; a run takes as many batches as there are new files.
+FILES_PER_BATCH = 1_000
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -23,7 +25,7 @@ def ingest_new_files(
     output: str,
     checkpoint: str,
     schema: T.StructType = RAW_SCHEMA,
-    max_files_per_batch: int | None = None,
+    max_files_per_batch: int = FILES_PER_BATCH,
 ) -> int:
     """Clean the new files into the output table and return how many rows were read.
 
@@ -47,9 +49,7 @@ def ingest_new_files(
         if seen["no_price"] or seen["no_name"]:
             log.warning("batch %d: %d rows without a price and %d without a name dropped", batch_id, seen["no_price"], seen["no_name"])
 
-    reader = spark.readStream.schema(FILE_SCHEMA).format("binaryFile")
-    if max_files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
+    reader = spark.readStream.schema(FILE_SCHEMA).format("binaryFile").option("maxFilesPerTrigger", max_files_per_batch)
     stream = (
         reader.load(raw_dir)
         .select("path")

@@ -186,6 +186,16 @@ def test_incremental_files_are_read_by_their_own_header(spark, tmp_path):
     }
 
 
+def test_incremental_takes_all_files_in_batches_of_bounded_size(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    for i in range(7):
+        (raw / f"{i}.csv").write_text(HEADER + f"Aldi,2.5,2.5,kg,Jam {i},20240102,food,True\n", encoding="utf-8")
+    assert ingest_new_files(spark, str(raw), str(tmp_path / "out"), str(tmp_path / "ckpt"), max_files_per_batch=3) == 7
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.select("product_name").distinct().count() == 7 and rows.select("ingest_batch").distinct().count() == 3
+
+
 def test_promotion_that_fails_keeps_the_old_table(spark, tmp_path):
     final = str(tmp_path / "t")
     tables.write_table(spark.range(3), final)
