@@ -62,6 +62,19 @@ def test_neighbours_equal_brute_force(spark, chunk_rows, min_sim):
     assert got == expect
 
 
+def test_neighbours_in_small_chunks_and_steps(spark, monkeypatch):
+    """What a task holds at a time is bounded, whatever the size of the table."""
+    monkeypatch.setattr(similarity, "MIN_BLOCK_ROWS", 30)
+    monkeypatch.setattr(similarity, "TASK_BYTES", 30 * 8 * 8)
+    monkeypatch.setattr(similarity, "STEP_CELLS", 100)
+    x = np.float32(np.random.default_rng(6).normal(size=(200, 8)))
+    ids = list(range(200))
+    got = {}
+    for r in similarity.nearest_neighbours(vectors(spark, ids, x), 3, min_sim=0.3).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append(r.dst)
+    assert got == {i: v for i, v in brute_force(ids, x.astype(np.float64), 3, 0.3).items() if v}
+
+
 def test_many_copies_of_one_vector(spark):
     rng = np.random.default_rng(9)
     x = np.concatenate([np.repeat([[1.0, 0.0, 0.0]], 60, axis=0), rng.normal(size=(60, 3))])
