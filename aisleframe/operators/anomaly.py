@@ -19,6 +19,8 @@ FEATURES = ["prices", "price_diff_1d", "price_rol_std_7d", "price_vs_market_avg"
 KEYS = ["supermarket", "product_name", "date"]
 N_TREES = 100
 TREE_ROWS = 256
+#: Rows that a task scores at a time, so that what it works on stays near the core.
+SCORED_TOGETHER = 8_192
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double"
 
@@ -118,6 +120,52 @@ def grow_forest(rows: DataFrame, features: list[str], keys: list[str], n_trees:
     return drawn.groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
+def _full_tree(t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, cuts, path lengths) of a tree filled up to its full depth, level by level.
+
+    The children of place k are 2 k + 1 and 2 k + 2. Below a leaf both ways lead to its path length.
+    """
+    levels, at = 0, {0: 0}
+    places = []
+    while at:
+        places.append(at)
+        below = {}
+        for place, node in at.items():
+            if t[node, 0] >= 0:
+                below[2 * place + 1], below[2 * place + 2] = int(t[node, 2]), int(t[node, 3])
+        levels, at = levels + bool(below), below
+    inner = (1 << levels) - 1
+    feature, cut, path = np.zeros(inner, np.intp), np.zeros(inner), np.zeros(inner + 1)
+    for level, found in enumerate(places):
+        for place, node in found.items():
+            if t[node, 0] >= 0:
+                feature[place], cut[place] = int(t[node, 0]), t[node, 1]
+            else:
+                wide = 1 << (levels - level)
+                first = (place + 1) * wide - 1 - inner
+                path[first : first + wide] = t[node, 4]
+    return feature, cut, path
+
+
+def _paths(x: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sum of the path lengths of every row over the trees, a few rows at a time and all of them level by level."""
+    out = np.zeros(len(x))
+    for lo in range(0, len(x), SCORED_TOGETHER):
+        part = np.ascontiguousarray(x[lo : lo + SCORED_TOGETHER].T)
+        rows, flat = np.arange(part.shape[1]), part.reshape(-1)
+        total = out[lo : lo + SCORED_TOGETHER]
+        for feature, cut, path in trees:
+            first, at = feature * len(rows), np.zeros(len(rows), np.intp)
+            for _ in range(len(path).bit_length() - 1):
+                # Not "greater": a NaN is at most nothing and goes right.
+                left = flat.take(first.take(at) + rows) <= cut.take(at)
+                at *= 2
+                at += 2
+                at -= left
+            total += path.take(at - len(feature))
+    return out
+
+
 def isolation_scores(
     rows: DataFrame,
     features: list[str] = FEATURES,
@@ -137,21 +185,12 @@ def isolation_scores(
         t.sort_values("node")[["feature", "cut", "left", "right", "depth"]].to_numpy(dtype=np.float64)
         for _, t in nodes.groupby("tree", sort=True)
     ]
-    shared = spark.sparkContext.broadcast(trees)
+    shared = spark.sparkContext.broadcast([_full_tree(t) for t in trees])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=np.float64)
-            path = np.zeros(len(x))
-            for tree in shared.value:
-                at = np.zeros(len(x), dtype=np.int64)
-                live = np.arange(len(x))[tree[at, 0] >= 0]
-                while len(live):
-                    here = tree[at[live]]
-                    goes_left = x[live, here[:, 0].astype(np.int64)] <= here[:, 1]
-                    at[live] = np.where(goes_left, here[:, 2], here[:, 3]).astype(np.int64)
-                    live = live[tree[at[live], 0] >= 0]
-                path += tree[at, 4]
+            path = _paths(x, shared.value)
             pdf["score"] = np.exp2(-(path / max(1, len(shared.value))) / scale)
             yield pdf
 

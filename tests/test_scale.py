@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aisleframe.functions import quantiles
+from aisleframe.functions import levels, quantiles
 from aisleframe.functions.ranking import with_rank
 from aisleframe.operators import artifacts, encoding, leadership, market, warehouse
 from aisleframe.panel import monthly_brand_panel
@@ -157,3 +157,15 @@ def test_quantiles_when_one_band_holds_nearly_all(spark, monkeypatch, sorted_row
     assert sorted_at_once[-1] <= sorted_rows and (len(sorted_at_once) > 1) == (sorted_rows == 40)
     whole = quantiles.exact_quantiles(df, [], "v", {"m": 0.5}).first().m
     assert whole == pytest.approx(np.quantile(np.concatenate(list(groups.values())), 0.5), abs=1e-12)
+
+
+def test_groups_are_counted_by_their_last_column_first(spark):
+    """No day with more rows than a task may sort: no group can be hot, and names are not even read."""
+    rows = [("p", d, float(v)) for d in range(3) for v in (4, 1, 1)]
+    df = spark.createDataFrame(rows, "canonical_name string, date int, x double")
+    out = levels.with_position(df, ["canonical_name", "date"], "x", sizes=df.select("date"), hot_rows=3)
+    assert sorted((r["date"], r["x"], r["_count"], r["_sum"], r["_lower"]) for r in out.collect()) == [
+        (d, x, 3, 6.0, n) for d in range(3) for x, n in ((1.0, 0), (1.0, 0), (4.0, 2))
+    ]
+    hot = levels.with_position(df, ["canonical_name", "date"], "x", hot_rows=2)
+    assert sorted(map(tuple, hot.select(*out.columns).collect())) == sorted(map(tuple, out.collect()))
