@@ -350,11 +350,11 @@ def shingle_sketch(docs: DataFrame, text: str, words: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-HEAD = "h1 long, h2 long, size long, parity array<long>, first array<long>"
+HEAD = "h1 long, h2 long, size long, fp long, parity array<long>, first array<long>"
 
 
 def set_heads(docs: DataFrame, key: str, text: str, similarity: float, words: int, sketch: np.ndarray) -> DataFrame:
-    """(id, name of the shingle set, its size, its parity, the shingles it meets others by) of every document.
+    """(id, name of the shingle set, its size, its fingerprint, its parity, the shingles it meets others by) of every document.
 
     In any common order of all shingles, two sets of that Jaccard similarity
     share one of their first ``n - ceil(similarity * n) + 1`` shingles. The
@@ -366,18 +366,34 @@ def set_heads(docs: DataFrame, key: str, text: str, similarity: float, words: in
         n = len(shingles)
         order = np.lexsort((shingles, shared.value[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
         first = order[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else order
-        return *_set_name(shingles), n, _parity(shingles), shingles[first].view(np.int64).tolist()
+        return *_set_name(shingles), n, int(majority(shingles).view(np.int64)[0]), _parity(shingles), shingles[first].view(np.int64).tolist()
 
     return _set_rows(docs, key, text, words, HEAD, head)
 
 
+def simhash_pairs(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """(id, to), id above to: sets whose fingerprints link at ``distance`` or fewer differing bits.
+
+    The first set of a fingerprint stands for it: the other sets with that
+    fingerprint pair with it, and linked fingerprints give one pair each.
+    """
+    owners = settle(prints.groupBy("fp").agg(F.min("id").alias("to")))
+    same = prints.select("id", "fp").join(owners, "fp").select("id", "to")
+    at = owners.select(F.col("fp").alias("src"), F.col("to").alias("id"))
+    linked = links(owners.select("fp"), distance).join(at, "src").join(owners.withColumnRenamed("fp", "dst"), "dst").select("id", "to")
+    return same.unionByName(linked).filter("id <> to").select(F.greatest("id", "to").alias("id"), F.least("id", "to").alias("to")).distinct()
+
+
 def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """(id, component) of all sets in the graph of the pairs with a Jaccard similarity of ``similarity``
     or more, as far as they have a partner.
 
     ``prints`` has the heads of the sets by distinct ids; ``sets_of`` gives the
-    whole sets (id, shingles) of the ids in a table. Candidates are exact (see
-    ``set_heads``). Of the texts with such a value the first ones lead; all
+    whole sets (id, shingles) of the ids in a table. The pairs whose SimHash
+    fingerprints link (see ``simhash_pairs``) come first; those that are near
+    are joined. A fingerprint tells near sets apart by chance, so what is not
+    in one component by then is met by its rare shingles, where candidates are
+    exact (see ``set_heads``). Of the texts with such a value the first ones lead; all
     others of another component are compared with them, components are joined,
     and the next leaders, more each time, follow until each value's texts are
     in one component or have all been compared. The tables of a round go with it.
@@ -387,8 +403,48 @@ def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
         index = prints.select("id", "size", F.posexplode("first").alias("pos", "value"))
         index = index.withColumn("rank", F.row_number().over(by_value)).withColumn("_next", F.lead("id").over(by_value))
         todo = keep(index.filter("rank > 1 OR _next IS NOT NULL").drop("_next").withColumn("comp", F.col("id")), "index")
-        links: DataFrame | None = None
+        differing = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        pairs: DataFrame | None = None
         joined: DataFrame | None = None
+
+        def able(met: DataFrame) -> DataFrame:
+            """The pairs whose sizes and parities do not rule them out."""
+            for key, bits, n in (("id", "a", "n"), ("to", "b", "m")):
+                met = met.join(prints.select(F.col("id").alias(key), F.col("parity").alias(bits), F.col("size").alias(n)), key)
+            differ_most = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
+            return keep(met.filter(differing <= differ_most).select("id", "to"), "near")
+
+        def join_near(near: DataFrame) -> None:
+            """Verify the pairs on whole sets and join the components of those that are near."""
+            nonlocal pairs, joined
+            involved = keep(near.select("id").unionByName(near.select(F.col("to").alias("id"))).distinct(), "involved")
+            sets = keep(sets_of(involved), "sets")
+            both = F.size(F.array_intersect("a", "b"))
+            found = keep(
+                near.join(sets.select("id", F.col("shingles").alias("a")), "id")
+                .join(sets.select(F.col("id").alias("to"), F.col("shingles").alias("b")), "to")
+                .filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9)
+                .select(F.col("id").alias("src"), F.col("to").alias("dst")),
+                "found",
+            )
+            pairs = found if pairs is None else pairs.unionByName(found)
+            before, joined = joined, keep(connected_components(pairs), "components")
+            keep.drop(before, involved, sets)
+
+        def open_rows(rows: DataFrame) -> DataFrame:
+            """The index rows with their components of now, of the values whose texts are not in one component."""
+            if joined is not None:
+                known = joined.select("id", F.col("component").alias("_comp"))
+                rows = rows.join(known, "id", "left").withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp")
+            open_values = rows.groupBy("value").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high")
+            return keep(rows.join(open_values.select("value"), "value", "left_semi").select(*todo.columns), "index")
+
+        near = able(simhash_pairs(prints))
+        if near.limit(1).count():
+            join_near(near)
+            before, todo = todo, open_rows(todo)
+            keep.drop(before)
+        keep.drop(near)
         done, take = 0, 1
         while todo.limit(1).count():
             heads = todo.filter(F.col("rank") <= done + take).select("value", *[F.col(c).alias(f"to_{c}") for c in ("id", "size", "pos", "rank", "comp")])
@@ -401,33 +457,12 @@ def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
                 .select(F.greatest("id", "to_id").alias("id"), F.least("id", "to_id").alias("to"))
                 .distinct()
             )
-            differing = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-            for key, bits, n in (("id", "a", "n"), ("to", "b", "m")):
-                met = met.join(prints.select(F.col("id").alias(key), F.col("parity").alias(bits), F.col("size").alias(n)), key)
-            differ_most = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
-            near = keep(met.filter(differing <= differ_most).select("id", "to"), "near")
+            near = able(met)
             if near.limit(1).count():
-                involved = keep(near.select("id").unionByName(near.select(F.col("to").alias("id"))).distinct(), "involved")
-                sets = keep(sets_of(involved), "sets")
-                both = F.size(F.array_intersect("a", "b"))
-                found = keep(
-                    near.join(sets.select("id", F.col("shingles").alias("a")), "id")
-                    .join(sets.select(F.col("id").alias("to"), F.col("shingles").alias("b")), "to")
-                    .filter(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9)
-                    .select(F.col("id").alias("src"), F.col("to").alias("dst")),
-                    "found",
-                )
-                links = found if links is None else links.unionByName(found)
-                before, joined = joined, keep(connected_components(links), "components")
-                keep.drop(before, involved, sets)
+                join_near(near)
             done, take = done + take, take * 32
             # Who has led has met all it can meet in that value.
-            rest = todo.filter(F.col("rank") > done)
-            if joined is not None:
-                known = joined.select("id", F.col("component").alias("_comp"))
-                rest = rest.join(known, "id", "left").withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp")
-            open_values = rest.groupBy("value").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high")
-            before, todo = todo, keep(rest.join(open_values.select("value"), "value", "left_semi").select(*todo.columns), "index")
+            before, todo = todo, open_rows(todo.filter(F.col("rank") > done))
             keep.drop(before, near)
         if joined is None:
             return prints.sparkSession.createDataFrame([], "id long, component long")
@@ -439,7 +474,9 @@ def one_of_each_group(
 ) -> DataFrame:
     """The documents without those that hang together with an earlier one by near copies.
 
-    Two documents are near when the Jaccard similarity of their sets of
+    SimHash fingerprints of the shingle sets bring the nearest texts together;
+    exact sets verify them, and rare shingles find the pairs whose fingerprints
+    lie further apart. Two documents are near when the Jaccard similarity of their sets of
     ``words``-word shingles is ``similarity`` or more. All such pairs count,
     also through documents that go, and of each connected group the first by id
     stays (null ids last). Documents that repeat in id and text stay or go
@@ -461,7 +498,7 @@ def one_of_each_group(
             .select(F.monotonically_increasing_id().alias("id"), "place"),
             "texts",
         )
-        prints = heads.filter("size > 0").join(same, "place").select("id", "size", "parity", "first").dropDuplicates(["id"])
+        prints = heads.filter("size > 0").join(same, "place").select("id", "size", "fp", "parity", "first").dropDuplicates(["id"])
         prints = keep(prints, "prints")
 
         def sets_of(ids: DataFrame) -> DataFrame:

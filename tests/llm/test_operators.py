@@ -585,3 +585,17 @@ def test_query_of_pseudonyms_equals_a_second_implementation(spark, docs, rows):
         want.append((k, f"no +1 ({p[:3]}) {p[3:6]}-{p[6:]} and {'.'.join(map(str, q))} with {c}{pii.luhn_digit(c)}."))
     got = pii.protect(spark.createDataFrame(texts, "doc_id long, text string"), key).select("doc_id", "text").collect()
     assert sorted(tuple(r) for r in got) == want
+
+
+def test_fingerprints_bring_near_texts_together_first(spark, monkeypatch):
+    """The near-duplicate stage verifies the pairs that SimHash fingerprints link; rare shingles find the others."""
+    text = " ".join(f"word{k}" for k in range(400))
+    rows = [(0, text), (1, text + " end"), (2, text.replace("word200", "other")), (3, " ".join(f"word{k}" for k in range(40, 430))), (4, "on its own"), (5, None)]
+    found, pairs = [], simhash.simhash_pairs
+    monkeypatch.setattr(simhash, "simhash_pairs", lambda *a: found.append(pairs(*a)) or found[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.one_of_each_group(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5] and len(found) == 1
+    prints = spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, 7 << 60), (5, -1)], "id long, fp long")
+    assert {tuple(r) for r in pairs(prints).collect()} == {(2, 1), (3, 1)}
+    assert pairs(prints.limit(0)).count() == 0
