@@ -34,6 +34,8 @@ from aisleframe.operators.similarity import connected_components
 #: Partition values with more fingerprints than this are linked through mid-points.
 PAIRED_AT_MOST = 32
 UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Texts of a value that lead in the first round of the near-duplicate stage. Fingerprints have joined the nearest by then.
+FIRST_LEADERS = 32
 #: Bits of the parity that rules out candidates, and of the cells in which shingles are counted to order them.
 PARITY, SKETCH_BITS = 1024, 20
 #: Odd multipliers that spread one 64-bit hash over further words of a wide fingerprint.
@@ -404,7 +406,6 @@ def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
         index = index.withColumn("rank", F.row_number().over(by_value)).withColumn("_next", F.lead("id").over(by_value))
         todo = keep(index.filter("rank > 1 OR _next IS NOT NULL").drop("_next").withColumn("comp", F.col("id")), "index")
         differing = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        pairs: DataFrame | None = None
         joined: DataFrame | None = None
 
         def able(met: DataFrame) -> DataFrame:
@@ -416,7 +417,7 @@ def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
 
         def join_near(near: DataFrame) -> None:
             """Verify the pairs on whole sets and join the components of those that are near."""
-            nonlocal pairs, joined
+            nonlocal joined
             involved = keep(near.select("id").unionByName(near.select(F.col("to").alias("id"))).distinct(), "involved")
             sets = keep(sets_of(involved), "sets")
             both = F.size(F.array_intersect("a", "b"))
@@ -427,9 +428,10 @@ def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
                 .select(F.col("id").alias("src"), F.col("to").alias("dst")),
                 "found",
             )
-            pairs = found if pairs is None else pairs.unionByName(found)
-            before, joined = joined, keep(connected_components(pairs), "components")
-            keep.drop(before, involved, sets)
+            # Of the pairs of earlier rounds only who hangs together counts: a link from each to the first.
+            edges = found if joined is None else found.unionByName(joined.filter("id <> component").select(F.col("id").alias("src"), F.col("component").alias("dst")))
+            before, joined = joined, keep(connected_components(edges), "components")
+            keep.drop(before, involved, sets, found)
 
         def open_rows(rows: DataFrame) -> DataFrame:
             """The index rows with their components of now, of the values whose texts are not in one component."""
@@ -445,7 +447,7 @@ def near_links(prints: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sim
             before, todo = todo, open_rows(todo)
             keep.drop(before)
         keep.drop(near)
-        done, take = 0, 1
+        done, take = 0, FIRST_LEADERS
         while todo.limit(1).count():
             heads = todo.filter(F.col("rank") <= done + take).select("value", *[F.col(c).alias(f"to_{c}") for c in ("id", "size", "pos", "rank", "comp")])
             # What two sets share at most when this is their first common shingle, and what they must share.

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from aisleframe.llm import decontam, line_dedup, lm_score, mixing, pii, quality, simhash, suffix, tokens, warc
 from aisleframe.llm.common import shared_folder
@@ -599,3 +600,26 @@ def test_fingerprints_bring_near_texts_together_first(spark, monkeypatch):
     prints = spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, 7 << 60), (5, -1)], "id long, fp long")
     assert {tuple(r) for r in pairs(prints).collect()} == {(2, 1), (3, 1)}
     assert pairs(prints.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("leaders", [1, 2, 32])
+def test_components_carry_links_from_round_to_round(spark, monkeypatch, leaders):
+    """Links of earlier rounds go on as one link a text, and chains still end in one component, however many texts lead at first."""
+    words = [f"w{k}" for k in range(160)]
+    chain = [(k, " ".join(words[6 * k : 6 * k + 100])) for k in range(10)]
+    texts = chain + [(100 + k, " ".join(f"v{k}x{j}" for j in range(60))) for k in range(4)]
+    texts += [(200 + k, " ".join([*words[20:60], *(f"y{k}x{j}" for j in range(4))])) for k in range(40)]
+    monkeypatch.setattr(simhash, "FIRST_LEADERS", leaders)
+    monkeypatch.setattr(simhash, "simhash_pairs", lambda prints, distance=2: prints.select("id", F.col("id").alias("to")).limit(0))
+    joined, given = simhash.connected_components, []
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: given.append(edges.count()) or joined(edges))
+    sets = {k: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for k, t in texts}
+    first = {k: k for k in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and first[a] != first[b]:
+                low, high = sorted((first[a], first[b]))
+                first = {k: low if v == high else v for k, v in first.items()}
+    kept = simhash.one_of_each_group(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(first.values()))
+    assert len(set(first.values())) < len(first) and given

@@ -136,6 +136,24 @@ def test_components_equal_union_find(spark):
     assert {r.id: r.component for r in similarity.connected_components(df).collect()} == expect
 
 
+def test_components_of_few_edges_lie_in_few_partitions(spark, monkeypatch):
+    """A round over a small graph has no more tasks than cores to read it, however finely shuffles are cut."""
+    settle, parts = similarity.settle, []
+    monkeypatch.setattr(similarity, "settle", lambda df: parts.append((out := settle(df)).rdd.getNumPartitions()) or out)
+    edges = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = similarity.connected_components(edges)
+        assert out.count() == 201 and out.filter("component <> 0").count() == 0
+        assert len(parts) > 2 and max(parts[1:]) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_model_encoder_runs_in_batches(spark):
     def make():
         return lambda texts: np.array([[len(t), 1.0] for t in texts])
