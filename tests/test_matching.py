@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,41 @@ def test_visits_grow_slower_than_all_pairs_on_clustered_vectors(spark, monkeypat
     n = 40 * 25
     assert visited[0] < 0.6 * n * n and visited[1] < 0.35 * (4 * n) ** 2
     assert visited[1] < 4**1.7 * visited[0]
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_rows_travel_once_a_shelf_not_once_a_chunk(spark, monkeypatch, signed):
+    """Vectors without near ones: every chunk has to be looked at, but a row goes only where a shelf of them lies."""
+    plain, asked = similarity.settle, []
+
+    def watch(df):
+        out = plain(df)
+        if "split" in df.columns:
+            asked.append((out.count(), out.agg(F.max(F.length("vec"))).first()[0] if dict(df.dtypes)["vec"] == "binary" else None))
+        return out
+
+    monkeypatch.setattr(similarity, "settle", watch)
+    monkeypatch.setattr(similarity, "MIN_BLOCK_ROWS", 30)
+    monkeypatch.setattr(similarity, "TASK_BYTES", 30 * 8 * 64)
+    monkeypatch.setattr(similarity, "SHELF_BYTES", 150 * 8 * 64, raising=False)
+    monkeypatch.setattr(similarity, "block_rows", lambda n, dims, cores: n)
+    monkeypatch.setattr(similarity, "STEP_CELLS", 3_000)
+    rng = np.random.default_rng(11)
+    x = np.zeros((600, 64), np.float32)
+    for row in x:
+        row[rng.choice(64, 5, replace=False)] = rng.normal(size=5) if signed else rng.uniform(0.5, 2, size=5)
+    got = {}
+    near = similarity.nearest_neighbours(vectors(spark, list(range(600)), x), 3, min_sim=0.3)
+    for r in near.orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append(r.dst)
+    assert got == {i: v for i, v in brute_force(list(range(600)), x.astype(np.float64), 3, 0.3).items() if v}
+    rows, longest = asked[-1]
+    assert rows <= 8 * 600  # at least 20 chunks
+    assert longest == 5 * 8  # and only the places that are not zero
+
+
+def test_rows_pack_to_bytes_and_back():
+    x = np.float32([[0, 0, 0, 0, 0], [0, 0, 3, 0, 0], [1, 2, 3, 4, 5], [0, -1, 0, 0, np.nan]])
+    packed = similarity._pack(x)
+    assert [len(p) for p in packed] == [0, 8, 20, 16]
+    assert np.array_equal(similarity._unpack(pd.Series(packed), 5, "<f4"), x, equal_nan=True)
