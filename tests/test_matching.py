@@ -1,3 +1,6 @@
+import math
+import pathlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -6,6 +9,7 @@ from pyspark.sql import functions as F
 from aisleframe.functions.numeric import dot, unit_vector
 from aisleframe.functions.text import normalise_name
 from aisleframe.operators import matching, similarity
+from aisleframe.session import settle
 
 
 @pytest.mark.parametrize(
@@ -235,3 +239,22 @@ def test_rows_pack_to_bytes_and_back():
     packed = similarity._pack(x)
     assert [len(p) for p in packed] == [0, 8, 20, 16]
     assert np.array_equal(similarity._unpack(pd.Series(packed), 5, "<f4"), x, equal_nan=True)
+
+
+def test_search_and_components_keep_no_copies_of_finished_steps(spark, monkeypatch):
+    kept, gone = [], []
+    monkeypatch.setattr(similarity, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    forget = similarity.forget
+    monkeypatch.setattr(similarity, "forget", lambda df: gone.append(df) or forget(df))
+
+    def file(df):
+        return pathlib.Path(df._jdf.logicalPlan().rdd().getCheckpointFile().get().removeprefix("file:"))
+
+    vectors = spark.createDataFrame([(k, [math.cos(k / 9), math.sin(k / 9)]) for k in range(50)], "vec_id long, embedding array<double>")
+    near = similarity.nearest_neighbours(vectors, 3, chunk_rows=8)
+    files = [file(df) for df in kept]
+    assert len(gone) == 2 and [f.exists() for f in files].count(False) == 2
+    parts = similarity.connected_components(similarity.mutual_edges(near, 0.9))
+    assert parts.count() == 50 and parts.select("component").distinct().count() == 1
+    rounds = [file(df) for df in kept[len(files) :]]
+    assert len(rounds) > 2 and [f.exists() for f in rounds] == [False] * (len(rounds) - 1) + [True]
